@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, token_files
+from . import mixing, multiset, packing, simhash, token_files
 from .common import read_table, scratch
 
 
@@ -31,9 +31,20 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.id_digests(token_files.read_tokens(spark, path))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+def op9_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix": op2_mix,
     "op3_pack": op3_pack,
     "op6_token_files": op6_token_files,
+    "op8_simhash": op8_simhash,
+    "op9_multiset": op9_multiset,
 }
 ORACLES: dict[str, str] = {}
