@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, multiset, packing, simhash, token_files
+from . import mixing, multiset, packing, quality, simhash, token_files, toxicity
 from .common import read_table, scratch
 
 
@@ -25,6 +25,14 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     token_files.write_tokens(read_table(spark, sf_dir, "documents"), path, _vocabulary("word_bpe_49k.json"), 2)
@@ -43,6 +51,8 @@ def op9_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix": op2_mix,
     "op3_pack": op3_pack,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
     "op8_simhash": op8_simhash,
     "op9_multiset": op9_multiset,
