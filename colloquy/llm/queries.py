@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, multiset, packing, quality, simhash, token_files, toxicity
+from . import html_text, mixing, multiset, neighbours, packing, quality, simhash, token_files, toxicity
 from .common import read_table, scratch
 
 
@@ -39,6 +39,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.id_digests(token_files.read_tokens(spark, path))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -48,13 +52,19 @@ def op9_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.edited_likeness(read_table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read_table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(20)) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix": op2_mix,
     "op3_pack": op3_pack,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
+    "op7_main_text": op7_main_text,
     "op8_simhash": op8_simhash,
     "op9_multiset": op9_multiset,
+    "op10_neighbours": op10_neighbours,
 }
 ORACLES: dict[str, str] = {}
