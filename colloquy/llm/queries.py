@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, multiset, neighbours, packing, quality, simhash, token_files, toxicity
+from . import html_text, lines, mixing, multiset, neighbours, packing, quality, simhash, token_files, toxicity
 from .common import read_table, scratch
 
 
@@ -17,6 +17,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.label_lines(read_table(spark, sf_dir, "documents")).drop("mark")
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_mix": op2_mix,
     "op3_pack": op3_pack,
     "op4_quality": op4_quality,
