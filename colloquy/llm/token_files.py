@@ -77,7 +77,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         "shard",
         F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
     )
-    return files.join(before, "shard").select(
+    return files.join(F.broadcast(before), "shard").select(  # a row per file: ids are not shuffled for it
         "doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids"
     )
 
