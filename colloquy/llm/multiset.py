@@ -23,8 +23,9 @@ _LANE = (1 << LANE_BITS) - 1
 _ONES = 1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS
 PARAGRAPH = r"\n"
 PIECE_END = r"(?<=[,.;:!?dgsy])[ \t\r]+|\n"
-#: Documents of one run of the order by id.
-RUN_ROWS = 20_000
+#: Documents of one run of the order by id, and the most runs.
+RUN_ROWS, MOST_RUNS = 2_000, 4_096
+_CHUNK = 32
 
 
 def exact_lanes(text: Column) -> Column:
@@ -113,6 +114,14 @@ def _bounds(ids: DataFrame, runs: int) -> list[int]:
     return sorted(set(found))
 
 
+def _below(bounds: list[int], key: Column) -> Column:
+    """How many of the sorted bounds are below the key: whole chunks first, then one chunk."""
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]).cast("array<bigint>")
+    chunks = F.size(F.filter(longs(bounds[_CHUNK - 1 :: _CHUNK]), lambda b: b < key))
+    within = F.slice(longs(bounds), chunks * _CHUNK + 1, F.lit(_CHUNK))
+    return chunks * _CHUNK + F.size(F.filter(within, lambda b: b < key))
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``next_<c>`` of the next document in descending ``doc_id`` order; after the last comes the first.
 
@@ -122,12 +131,8 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """
     keyed = docs.select(*columns).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
     rows = docs.select(F.col("doc_id")).count()
-    bounds = _bounds(keyed.select("_key"), -(-rows // RUN_ROWS))
-    # run 0 holds the largest ids
-    run = F.lit(len(bounds))
-    if bounds:
-        found = F.array(*[F.lit(b).cast("long") for b in bounds])
-        run = F.size(F.filter(found, lambda b: b >= F.col("_key")))
+    bounds = _bounds(keyed.select("_key"), min(MOST_RUNS, -(-rows // RUN_ROWS)))
+    run = len(bounds) - _below(bounds, F.col("_key"))  # run 0 holds the largest ids
     order = [F.col("_key").desc(), F.xxhash64("text"), F.col("text")]
     placed = keyed.withColumn("_run", run)
     tops = placed.groupBy("_run").agg(F.max("_key").alias("_key")).collect()  # a row per run
