@@ -146,13 +146,13 @@ def ranked_entities(clusters: DataFrame, messages: DataFrame, people: DataFrame,
     return top.join(clusters.select("cluster_id", "start_ts", "cluster_no"), "cluster_id")
 
 
-def build_graph(messages: DataFrame, channels: DataFrame, people: DataFrame, meta: dict | None = None) -> Graph:
+def build_graph(messages: DataFrame, channels: DataFrame, people: DataFrame, meta: dict | None = None, fold: bool = True) -> Graph:
     """The whole graph of a message table. Stages that several tables share are written once."""
     spark = messages.sparkSession
     clusters, placed = sessionise(messages)
     clusters, placed = cut(clusters), cut(placed)
     sent = cut(sent_counts(placed))
-    top = cut(ranked_entities(clusters, placed, people))
+    top = cut(ranked_entities(clusters, placed, people, fold))
     parts = [person_nodes(people, sent), channel_nodes(channels), cluster_nodes(clusters, placed), entity_nodes(top)]
     nodes = parts[0]
     for p in parts[1:]:
