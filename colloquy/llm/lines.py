@@ -5,9 +5,10 @@ segments; one of them survives in any line that links. The shorter line of a pai
 one probes the substrings that can align with a segment of each length in reach (both of the multi-match bounds hold).
 Index and probe rows of all distinct lines are dealt by a hash of (length, segment number, segment) once; only rows that
 meet another line there live on. Meeting lines are paired through short keys: where many lines share a segment, as variants
-of one template do, the key also takes the multiset of characters of one of ``2 * edits + 1`` classes of characters, since
-``edits`` edits change at most ``2 * edits`` characters' counts and so leave one class alike. That loses no link and keeps
-lines that merely share a segment apart. Pairs are then verified by a banded bit-parallel automaton.
+of one template do, the key also takes the character counts of one of ``2 * edits + 1`` groups of characters, since ``edits`` edits
+change at most ``2 * edits`` characters' counts and so leave one group alike; and only pairs whose counts differ by at most
+``2 * edits`` in sum are paired. That loses no link and keeps lines that merely share a segment apart. Pairs are then
+verified by a banded bit-parallel automaton.
 
 Short lines have less room: under ``SHORT`` characters only equal lines match, under ``MIDDLE`` one edit does.
 """
@@ -24,18 +25,27 @@ from .components import connected_components
 SHORT, MIDDLE, EDITS = 10, 20, 2
 #: Lines that may share a segment before their key is refined.
 CROWD = 16
+#: Characters are counted in classes; an edit changes two counts by one at most, and at most two groups of classes.
+GROUPS = 2 * EDITS + 1
+CLASSES = 3 * GROUPS
+#: Bits of the filter that keeps lines without partners from being moved: a bound on what is broadcast for it.
+FILTER_BITS = 24
 
 
 def _allowed(length: Column) -> Column:
     return F.when(length < SHORT, 0).when(length < MIDDLE, 1).otherwise(EDITS)
 
 
+def _div(a: Column, k: int) -> Column:
+    return F.call_function("div", a, F.lit(k)).cast("int")
+
+
 def _segment(length: Column, edits: int, i: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment ``i`` (from 1): short ones first."""
     k = edits + 1
-    size, long_ones = F.floor(length / k).cast("int"), (length % k).cast("int")
-    before = F.greatest(F.lit(0), F.lit(i - 1) - (F.lit(k) - long_ones))
-    return size * (i - 1) + before + 1, size + (F.lit(i) > F.lit(k) - long_ones).cast("int")
+    size, long_ones = _div(length, k), length % k
+    before = F.greatest(F.lit(0), long_ones + (i - 1 - k))
+    return size * (i - 1) + before + 1, size + (long_ones > k - i).cast("int")
 
 
 def _hash(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
@@ -47,7 +57,8 @@ def _index_keys(line: Column, n: Column, edits: int) -> Column:
 
 
 def _probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """Substrings of a line of length ``n`` for indexed lines of length ``n - d``."""
+    """Substrings of a line of length ``n`` for indexed lines of length ``n - d``; those that are its own index keys are
+    left out."""
     found = []
     for d in range(edits + 1):
         l = n - d  # noqa: E741
@@ -55,7 +66,7 @@ def _probe_keys(line: Column, n: Column, edits: int) -> Column:
         for i in range(1, edits + 2):
             start, size = _segment(l, edits, i)
             low, high = max(1 - i, d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i))
-            keys += [_hash(line, l, i, start + s, size) for s in range(low, high + 1)]
+            keys += [_hash(line, l, i, start + s, size) for s in range(low, high + 1) if d or s]
         found.append(F.when(_allowed(l) == edits, F.array(*keys)).otherwise(F.array().cast("array<bigint>")))
     return F.concat(*found)
 
@@ -65,30 +76,32 @@ def document_lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n")).alias("line_no", "raw"))
-        .withColumn("line", F.trim(F.translate("raw", "\r\t", "  ")))
+        .withColumn("line", F.btrim("raw", F.lit(" \t\r")))
         .where("line <> ''")
         .select("doc_id", "mark", "line_no", "line", F.xxhash64("line").alias("h"))
     )
 
 
 def distinct_lines(lines: DataFrame, table: str) -> DataFrame:
-    """A row per distinct line: ``id, line, first`` (its first occurrence), ``copies``; written once, bucketed by ``h``."""
+    """A row per distinct line: ``id`` (from 1), ``h, line, n, first`` (its first occurrence), ``copies``; written once."""
     spark = lines.sparkSession
     found = lines.groupBy("h", "line").agg(
         F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "mark", "line_no")).alias("first"), F.count("*").alias("copies")
     )
     path = scratch(spark, table)
-    numbered = found.select((F.monotonically_increasing_id() * 2).alias("id"), "h", "line", "first", "copies")
+    numbered = found.select((F.monotonically_increasing_id() + 1).alias("id"), "h", "line", F.length("line").alias("n"), "first", "copies")
     numbered.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(numbered.schema).parquet(path)
 
 
-def _letters(line: Column) -> Column:
-    """Hashes of the sorted characters of each class."""
-    classes = 2 * EDITS + 1
-    chars = F.array_sort(F.split(line, ""))
-    pick = lambda g: F.xxhash64(F.filter(chars, lambda c: F.ascii(c) % classes == g), F.lit(g))
-    return F.array(*[pick(g) for g in range(classes)])
+def _counts(line: Column) -> Column:
+    """How many characters of each class a line has: printable ASCII by code; others are in no class."""
+    sets = [[c for c in range(33, 127) if c % CLASSES == g] for g in range(CLASSES)]
+    return F.array(*[F.regexp_count(line, F.lit("[" + "".join(f"\\x{c:02x}" for c in cs) + "]")) for cs in sets])
+
+
+def _apart(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
 
 
 def _let(value: Column, body) -> Column:
@@ -166,43 +179,45 @@ def linked(a: Column, b: Column, edits: Column) -> Column:
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """``rows(key, id)``, even ids indexed and odd ids probing -> distinct pairs of lines that meet."""
-    even = rows.where("id % 2 = 0").select("key", F.col("id").alias("u"))
-    odd = rows.where("id % 2 = 1").select("key", (F.col("id") - 1).alias("v"))
-    met = even.join(odd, "key").where("u <> v")
+    """``rows(key, id, counts)``; positive ids are indexed and probe, negative ones probe -> distinct pairs that may link."""
+    left = rows.where("id > 0").select("key", F.col("id").alias("u"), F.col("counts").alias("cu"))
+    right = rows.select("key", F.col("id").alias("w"), F.abs("id").alias("v"), F.col("counts").alias("cv"))
+    other = (F.col("u") != F.col("v")) & ((F.col("w") < 0) | (F.col("u") < F.col("w")))
+    met = left.join(right, (left["key"] == right["key"]) & other & (_apart(F.col("cu"), F.col("cv")) <= 2 * EDITS))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows that have one of the ids. A bitmap of at most ``2 ** (FILTER_BITS - 6)`` words takes out most others first."""
+    at = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long"))
+    word, bit = F.shiftright(at("id"), 6), F.call_function("shiftleft", F.lit(1).cast("long"), (at("id") % 64).cast("int"))
+    bits = ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    few = rows.join(F.broadcast(bits), word == F.col("_word")).where(F.col("_bits").bitwiseAND(bit) != 0)
+    return few.drop("_word", "_bits").join(ids, "id")
+
+
 def line_links(distinct: DataFrame) -> DataFrame:
     """``u, v``: ids of different lines within their allowed edits."""
-    n = F.length("line")
-    keys = F.concat(
-        F.when(_allowed(n) == 2, _index_keys(F.col("line"), n, 2)).when(_allowed(n) == 1, _index_keys(F.col("line"), n, 1)).otherwise(F.array().cast("array<bigint>")),
-        _probe_keys(F.col("line"), n, 2),
-        _probe_keys(F.col("line"), n, 1),
-    )
-    dealt = distinct.where(n >= SHORT).select("id", (_allowed(n) + 1).alias("own"), F.posexplode(keys).alias("at", "key"))
-    rows = dealt.select("key", (F.col("id") + (F.col("at") >= F.col("own")).cast("long")).alias("id"))
+    line, n, none = F.col("line"), F.col("n"), F.array().cast("array<bigint>")
+    own = F.when(_allowed(n) == 2, _index_keys(line, n, 2)).when(_allowed(n) == 1, _index_keys(line, n, 1)).otherwise(none)
+    keys = F.concat(own, _probe_keys(line, n, 2), _probe_keys(line, n, 1))
+    dealt = distinct.where(n >= SHORT).select("id", _allowed(n).alias("last"), F.posexplode(keys).alias("at", "key"))
+    rows = dealt.select("key", F.when(F.col("at") <= F.col("last"), F.col("id")).otherwise(-F.col("id")).alias("id"))
     by = W.partitionBy("key")
-    crowd = rows.select("key", "id", F.count("*").over(by).alias("crowd"), F.min("id").over(by).alias("low"), F.max("id").over(by).alias("high"), F.bit_or(F.col("id") % 2).over(by).alias("odd"), F.bit_and(F.col("id") % 2).over(by).alias("even"))
-    meeting = materialise(
-        crowd.where((F.shiftright("low", 1) != F.shiftright("high", 1)) & (F.col("odd") == 1) & (F.col("even") == 0)).select("key", "id", "crowd"),
-        "line-rows",
-    )
-    ids = meeting.select((F.col("id") - F.col("id") % 2).alias("id")).distinct()
-    texts = materialise(distinct.select("id", "line").join(ids, "id").select("id", "line", _letters(F.col("line")).alias("letters")), "line-texts")
-    few = meeting.where(F.col("crowd") <= CROWD).select("key", "id")
-    many = meeting.where(F.col("crowd") > CROWD).withColumn("line_id", F.col("id") - F.col("id") % 2)
-    finer = many.join(texts.select(F.col("id").alias("line_id"), "letters"), "line_id").select(
-        F.col("key"), "id", F.explode("letters").alias("letter")
-    ).select(F.xxhash64("key", "letter").alias("key"), "id")
+    crowd = rows.select("key", "id", F.count("*").over(by).alias("crowd"), F.max("id").over(by).alias("high"))
+    meeting = materialise(crowd.where("crowd > 1 and high > 0").select("key", "id", "crowd"), "line-rows")
+    ids = meeting.select(F.abs("id").alias("id")).distinct()
+    texts = materialise(_among(distinct.select("id", "line", "n"), ids).withColumn("counts", _counts(line)), "line-texts")
+    told = meeting.withColumn("line_id", F.abs("id")).join(texts.select(F.col("id").alias("line_id"), "counts"), "line_id")
+    few = told.where(F.col("crowd") <= CROWD).select("key", "id", "counts")
+    group = F.explode(F.array(*[F.xxhash64("key", F.lit(g), F.slice("counts", 3 * g + 1, 3)) for g in range(GROUPS)]))
+    finer = told.where(F.col("crowd") > CROWD).select(group.alias("key"), "id", "counts")
     pairs = _pairs(few.union(finer))
-    u = texts.select(F.col("id").alias("u"), F.col("line").alias("a"), F.col("letters").alias("la"))
-    v = texts.select(F.col("id").alias("v"), F.col("line").alias("b"), F.col("letters").alias("lb"))
-    both = pairs.join(u, "u").join(v, "v").where(F.arrays_overlap("la", "lb"))
-    shorter = F.least(F.length("a"), F.length("b"))
-    both = both.where(F.abs(F.length("a") - F.length("b")) <= _allowed(shorter))
-    return both.where(linked(F.col("a"), F.col("b"), _allowed(shorter))).select("u", "v")
+    u = texts.select(F.col("id").alias("u"), F.col("line").alias("a"), F.col("n").alias("na"))
+    v = texts.select(F.col("id").alias("v"), F.col("line").alias("b"), F.col("n").alias("nb"))
+    edits = _allowed(F.least("na", "nb"))
+    both = pairs.join(u, "u").join(v, "v").where(F.abs(F.col("na") - F.col("nb")) <= edits)
+    return both.where(linked(F.col("a"), F.col("b"), edits)).select("u", "v")
 
 
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
