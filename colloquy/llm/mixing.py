@@ -68,7 +68,8 @@ def _round(cap: int):
             mine = size * n
             rest = words - mine
             k = round(n * room / words) if words else 0
-            k = max(k, -int(-(room - cap * rest) // size)) if room > cap * rest else k
+            if rest > 0 and room > cap * rest:
+                k = max(k, -int(-(room - cap * rest) // size))
             k = int(min(max(k, 0), max(int(room // size), 0) if rest > 0 else cap * n, cap * n))
             out.append(k)
             room, words = room - k * size, rest

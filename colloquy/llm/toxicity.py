@@ -1,7 +1,7 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 The lexicon is a short list of common insults and what the labelled training rows add: words and word beginnings that
-toxic texts use far more often than others, counted once per family of near copies. Trees and lexicon are fitted on a
+toxic texts use far more often than others, picked so that each explains texts that the others do not. Trees and lexicon are fitted on a
 bounded, repeatable sample of the training rows; features, scores and calibration cover every whole text.
 """
 
@@ -23,7 +23,7 @@ from .labels import bounded_sample, fold, training_labels
 #: Bounds of the fit: labelled rows of each class, and learned lexicon entries.
 SAMPLE_PER_CLASS = 6_000
 LEXICON = 2_000
-STEM = 5
+STEMS = (4, 5, 6)
 NEAR = 6
 
 # Common insults, second-person words, look-alike characters.
@@ -69,8 +69,9 @@ class Reader:
             kind, weight = kind | 1, self.lexicon[w]
         if w in INSULTS:
             kind |= 2
-        if len(w) >= STEM and (stem := w[:STEM] + "*") in self.lexicon:
-            kind, weight = kind | 4, max(weight, self.lexicon[stem])
+        for size in STEMS:
+            if len(w) >= size and (stem := w[:size] + "*") in self.lexicon:
+                kind, weight = kind | 4, max(weight, self.lexicon[stem])
         if len(self.seen) > 400_000:
             self.seen.clear()
         found = (kind, weight, w) if kind else None
@@ -157,14 +158,10 @@ class Trees:
 
 def isotonic(s: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: steps ``(from score, value)``, values rising."""
-    order = np.argsort(s, kind="stable")
+    at, group = np.unique(s, return_inverse=True)
     blocks: list[list[float]] = []
-    for v, t, u in zip(s[order], y[order], w[order], strict=True):
-        if blocks and blocks[-1][0] == v:
-            blocks[-1][1] += t * u
-            blocks[-1][2] += u
-        else:
-            blocks.append([v, t * u, u])
+    for block in zip(at, np.bincount(group, y * w), np.bincount(group, w), strict=True):
+        blocks.append(list(block))
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             _, a, b = blocks.pop()
             blocks[-1][1] += a
@@ -193,32 +190,64 @@ class Model:
         return np.clip(0.999 * value + 0.001 / (1 + np.exp(-m)), 0, 1)  # a trace of the margin orders equal steps
 
 
+def _cover(doc: np.ndarray, term: np.ndarray, odds: np.ndarray, least: float) -> list[int]:
+    """Terms that explain the documents: again and again the one with most documents left, times its log odds.
+
+    A family of near copies counts as explained once one of its words is picked, so its other words are not learned.
+    """
+    docs, doc = np.unique(doc, return_inverse=True)
+    order = np.argsort(doc, kind="stable")
+    by_doc = np.split(term[order], np.cumsum(np.bincount(doc, minlength=len(docs)))[:-1])
+    order = np.argsort(term, kind="stable")
+    by_term = np.split(doc[order], np.cumsum(np.bincount(term, minlength=len(odds)))[:-1])
+    left, gain, picked = np.ones(len(docs), bool), np.bincount(term, minlength=len(odds)).astype(float), []
+    while len(gain):
+        best = int((gain * odds).argmax())
+        if gain[best] < least:
+            return picked
+        picked.append(best)
+        for d in np.unique(by_term[best]):
+            if left[d]:
+                left[d] = False
+                np.subtract.at(gain, by_doc[d], 1.0)
+    return picked
+
+
 def learn_lexicon(texts: DataFrame, entries: int = LEXICON) -> dict[str, float]:
-    """``texts(text, y)`` of a bounded sample -> entries with their log odds; stems end in ``*``."""
+    """``texts(doc_id, text, y)`` of a bounded sample -> entries with their log odds; stems end in ``*``.
+
+    The candidates are at most ``entries`` terms, each in as many documents of the sample as it may be.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = {normal(w) for w in set(_WORD.findall(text))} - {""}
-                family = min(map(_mix, words), default=0)
-                terms = {w for w in words if len(w) <= 40} | {w[:STEM] + "*" for w in words if len(w) >= STEM}
-                out += [(t, y, family) for t in terms]
+                terms = {w for w in words if len(w) <= 40} | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
+                out += [(doc, t, y) for t in sorted(terms)]
+            types = (pa.int64(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.string(), pa.int32(), pa.int64()), strict=True)],
-                names=["term", "y", "family"],
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, types, strict=True)], names=["doc", "term", "y"]
             )
 
-    seen = materialise(texts.select("text", "y").mapInArrow(run, "term string, y int, family long").distinct(), "toxic-terms")
-    size = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.countDistinct("family").alias("n")).collect()}
+    seen = materialise(texts.select("doc_id", "text", "y").mapInArrow(run, "doc long, term string, y int").distinct(), "toxic-terms")
+    size = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.countDistinct("doc_id").alias("n")).collect()}
     t, n = size.get(1, 0), size.get(0, 0)
     if not t or not n:
         return {}
+    least = max(3, 0.004 * t)
     counts = seen.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (t + 1)) - F.log((F.col("b") + 0.5) / (n + 1))
-    strong = counts.withColumn("odds", odds).where((F.col("a") >= max(3, 0.004 * t)) & (F.col("odds") >= 2.5))
-    top = strong.orderBy(F.col("odds").desc(), F.col("a").desc(), "term").limit(entries)
-    return {r["term"]: float(r["odds"]) for r in top.select("term", "odds").collect()}
+    strong = counts.withColumn("odds", odds).where((F.col("a") >= least) & (F.col("odds") >= 3.0))
+    top = strong.orderBy((F.col("a") * F.col("odds")).desc(), "term").limit(entries).select("term", "odds").collect()
+    place = {r["term"]: i for i, r in enumerate(top)}
+    if not place:
+        return {}
+    index = texts.sparkSession.createDataFrame(list(place.items()), "term string, i int")
+    where = seen.where("y = 1").join(F.broadcast(index), "term").select("doc", "i").toPandas()  # entries and sample are bounded
+    picked = _cover(where["doc"].to_numpy(), where["i"].to_numpy(), np.array([r["odds"] for r in top]), least)
+    return {top[i]["term"]: float(top[i]["odds"]) for i in picked}
 
 
 def _mix(word: str) -> int:
