@@ -71,7 +71,8 @@ def ask(rows: DataFrame, enricher: Enricher = offline, pause_s: float = 0.0) ->
 
 def normalised(answers: DataFrame) -> DataFrame:
     """``id, node_seq, summary, decisions, topics, sentiment, relationships`` with defaults; answers that are no JSON object are left out."""
-    e = answers.withColumn("e", F.from_json("answer", schema.ENRICHMENT)).where("e is not null and answer is not null")
+    parsed = F.from_json("answer", f"{schema.ENRICHMENT}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    e = answers.withColumn("e", parsed).where("e is not null and e._bad is null and answer is not null")
     some = F.array().cast("array<string>")
     text = lambda c, other: F.coalesce(F.nullif(F.col(f"e.{c}"), F.lit("")), F.lit(other)).alias(c)
     links = F.coalesce("e.relationships", F.array().cast("array<struct<from:string,to:string,edge:string,detail:string>>"))

@@ -73,8 +73,8 @@ def test_pagerank(graph):
 
 def test_queries(graph):
     n, e = graph.nodes, graph.edges
-    found = [(r.id, r.search_score) for r in query.search(n, "KAYAK").collect()]
-    assert found[0] == ("entity:kayak", 10) and ("cluster_0", 2) in found
+    found = [(r.id, r.search_score) for r in query.search(n, "KAYAK LAKE").collect()]
+    assert found[0] == ("entity:kayak lake", 10) and ("cluster_0", 2) in found
     layers = {r.id: (r.depth, r.parent) for r in query.traverse(n, e, "person:Bob", 2).collect()}
     assert layers["person:Bob"] == (0, None) and layers["cluster_0"] == (1, "person:Bob") and layers["person:Cid"][0] == 2
     assert query.traverse(n, e, "person:None") is None
