@@ -34,6 +34,11 @@ def registered(oracle: str | None = None):
     return add
 
 
+def _count():
+    """Counts of nodes that have none are told as 0."""
+    return F.coalesce("global_frequency", F.lit(0)).alias("global_frequency")
+
+
 # ---------------------------------------------------------------- sessions
 
 
@@ -211,9 +216,9 @@ def conversation_graph(spark: SparkSession, sf_dir: str) -> G.Graph:
     return _GRAPHS[key]
 
 
-@registered(O.graph() + " SELECT id, type, name, channel, CAST(global_frequency AS BIGINT) AS global_frequency, raw_text, node_seq FROM nodes")
+@registered(O.graph() + " SELECT id, type, name, channel, CAST(coalesce(global_frequency, 0) AS BIGINT) AS global_frequency, raw_text, node_seq FROM nodes")
 def graph_nodes(spark, sf_dir):
-    return conversation_graph(spark, sf_dir).nodes.select("id", "type", "name", F.when(F.col("type") == "cluster", F.col("channel")).alias("channel"), "global_frequency", "raw_text", "node_seq")
+    return conversation_graph(spark, sf_dir).nodes.select("id", "type", "name", F.when(F.col("type") == "cluster", F.col("channel")).alias("channel"), _count(), "raw_text", "node_seq")
 
 
 @registered(
@@ -319,10 +324,10 @@ def topic_edges(spark, sf_dir):
     return links.where("type = 'TOPIC'").select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
-@registered(O.graph() + TOP.format(n=30) + " SELECT id, 'person' AS type, name, CAST(NULL AS BIGINT) AS global_frequency FROM nodes WHERE type='person' UNION ALL SELECT id, 'entity', name, CAST(global_frequency AS BIGINT) FROM te")
+@registered(O.graph() + TOP.format(n=30) + " SELECT id, 'person' AS type, name, CAST(0 AS BIGINT) AS global_frequency FROM nodes WHERE type='person' UNION ALL SELECT id, 'entity', name, CAST(global_frequency AS BIGINT) FROM te")
 def overview_nodes(spark, sf_dir):
     g = conversation_graph(spark, sf_dir)
-    return query.overview(g.nodes, g.edges)[0].select("id", "type", "name", "global_frequency")
+    return query.overview(g.nodes, g.edges)[0].select("id", "type", "name", _count())
 
 
 @registered(
@@ -335,12 +340,12 @@ def overview_edges(spark, sf_dir):
 
 
 @registered(
-    O.graph() + TOP.format(n=40) + """ SELECT id, 'person' AS type, name, CAST(NULL AS BIGINT) AS global_frequency, (SELECT count(*) FROM edges e WHERE e.type='SENT_IN' AND e.src=nodes.id) AS clusters
-FROM nodes WHERE type='person' UNION ALL SELECT id, 'entity', name, CAST(global_frequency AS BIGINT), NULL FROM te"""
+    O.graph() + TOP.format(n=40) + """ SELECT id, 'person' AS type, name, CAST(0 AS BIGINT) AS global_frequency, (SELECT count(*) FROM edges e WHERE e.type='SENT_IN' AND e.src=nodes.id) AS clusters
+FROM nodes WHERE type='person' UNION ALL SELECT id, 'entity', name, CAST(global_frequency AS BIGINT), 0 FROM te"""
 )
 def viz_export_nodes(spark, sf_dir):
     g = conversation_graph(spark, sf_dir)
-    return query.viz_export(g.nodes, g.edges)[0].select("id", "type", "name", "global_frequency", "clusters")
+    return query.viz_export(g.nodes, g.edges)[0].select("id", "type", "name", _count(), F.coalesce("clusters", F.lit(0)).alias("clusters"))
 
 
 def _busy(g: G.Graph) -> G.Graph:
