@@ -116,13 +116,14 @@ def pack(
     tiers: tuple[int, ...] = (64, 128, 256, 512, 1024),
     block: int = 2048,
     steps: int = 64,
+    cache: int = 300_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group``.
 
     ``tiers`` are powers of two up to ``window``; a window of a lower tier is full. Only the last window of a partition,
-    under the lowest tier, is padded to ``window``. ``step_group`` numbers runs of ``steps`` windows of one tier, which
+    under the lowest tier, is padded to ``window``. ``cache`` bounds a worker's memory of words. ``step_group`` numbers runs of ``steps`` windows of one tier, which
     hold equally many ids. Null text counts as empty and still has its end id; null ids are kept; repeated rows are
     packed once each; other columns are ignored; an empty table gives an empty one.
     """
@@ -132,7 +133,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, tiers, block, steps, (TaskContext.get().partitionId() + 1) << 36)
-        encode: Callable = ids_of(vocabulary).encode
+        encode: Callable = ids_of(vocabulary, cache).encode
         for batch in batches:
             texts, docs_ = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for at, block_ in in_blocks(texts):

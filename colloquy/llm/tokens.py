@@ -13,7 +13,7 @@ from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
-#: Entries of one generation of the cache.
+#: Entries of one generation of the cache: about 200 bytes each, in each worker.
 CACHE = 600_000
 #: Longer pieces are encoded but not kept.
 KEEP_CHARS = 48
@@ -85,14 +85,14 @@ class PieceCache(dict):
 class Ids:
     """Ids of whole texts under one of the public vocabularies."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, capacity: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
         self._spaced = "byte" in os.path.basename(path)
-        self._first, self._later = PieceCache(tok, "", not self._spaced), PieceCache(tok, " ", False)
+        self._first, self._later = PieceCache(tok, "", not self._spaced, capacity), PieceCache(tok, " ", False, capacity)
 
     def _pieces(self, text: str) -> tuple[list[str], list[str]]:
         """Pieces to encode as they stand, then pieces that follow one space."""
@@ -111,9 +111,9 @@ class Ids:
 
 
 @lru_cache(maxsize=4)
-def ids_of(path: str) -> Ids:
+def ids_of(path: str, capacity: int = CACHE) -> Ids:
     """One per worker process."""
-    return Ids(path)
+    return Ids(path, capacity)
 
 
 def in_blocks(texts: list[str], chars: int = 400_000) -> Iterable[tuple[int, list[str]]]:
