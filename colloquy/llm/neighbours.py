@@ -3,8 +3,8 @@
 Distinct vectors are dealt to the lists of centroids that a bounded sample trains; lists are cut into blocks of bounded
 size. A query probes the lists of its best centroids, as many as reach the wanted recall on the sample. Within a probed
 block vectors are stored rotated, in blocks of columns. After each column block a hypothesis test compares the partial
-inner product, plus the spread that the remaining rotated columns can add at the given confidence, with the query's
-present k-th best, and abandons the pair if it has no chance. Survivors get their exact product on the original vectors.
+inner product, plus the spread that the remaining rotated columns can add at the given confidence, with a lower bound of
+the query's k-th best from a bounded set of vectors, and abandons the pair if it has no chance. Survivors get their exact product on the original vectors.
 
 Equal vectors are one candidate with their least ``k + 1`` ids, which is all that any query can return of them, so a
 vector that fills a third of the table costs no more than another.
@@ -27,6 +27,10 @@ SAMPLE = 20_000
 #: Distinct vectors of a list, and queries, that meet in one task.
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 2_048
 COLUMNS = 16
+#: Share of living pairs under which a column block is summed pair by pair.
+SPARSE = 0.1
+#: Vectors of the sample whose products with a query bound its k-th best from below.
+ANCHORS = 4_096
 #: Standard deviations of the test: a true neighbour is lost about once in ten thousand tests.
 SIGMAS = 3.7
 RECALL = 0.97
@@ -71,42 +75,45 @@ class Index:
         order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
         place = np.argsort(order, axis=1)
         needed = np.sort(np.take_along_axis(place, self.lists(sample)[near], 1).ravel())
+        self.anchors, self.keep = sample[r.permutation(n)[:ANCHORS]], k + 1
         self.probes = int(needed[min(len(needed) - 1, int(RECALL * len(needed)))]) + 1
 
     def lists(self, x: np.ndarray) -> np.ndarray:
         return ((self.centroids**2).sum(1)[None] - 2 * x @ self.centroids.T).argmin(1)
 
+    def floor(self, q: np.ndarray) -> np.ndarray:
+        """What the k-th best product of each query reaches at least."""
+        if len(self.anchors) < self.keep:
+            return np.full(len(q), -np.inf)
+        return -np.partition(-(q @ self.anchors.T), self.keep - 1, axis=1)[:, self.keep - 1]
+
     def probed(self, q: np.ndarray) -> np.ndarray:
         return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
 
 
-def scan(queries: np.ndarray, block: np.ndarray, rotation: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (query, row) that may be among each query's ``keep`` best of the block, with exact products."""
-    n, dims = block.shape
-    first = min(n, max(4 * keep, 256))
-    head = queries @ block[:first].T
-    if first == n:
-        qi, ci = np.divmod(np.arange(len(queries) * n), n)
-    else:
-        best = np.partition(head, first - min(keep, first), axis=1)[:, first - min(keep, first)]
-        q, x = queries @ rotation, block[first:] @ rotation
-        cuts = [*range(COLUMNS, dims, COLUMNS), dims]
-        partial = q[:, :COLUMNS] @ x[:, :COLUMNS].T
-        qi, ci = np.arange(len(q)), None
-        for a, b in zip([0, *cuts], cuts, strict=False):
-            if a:
-                partial = partial + np.einsum("ij,ij->i", q[qi, a:b], x[ci, a:b])
-            rest = dims - b
-            spread = SIGMAS / np.sqrt(rest) if rest else 1e-9
-            qn, xn = np.sqrt((q[:, b:] ** 2).sum(1)), np.sqrt((x[:, b:] ** 2).sum(1))
-            if ci is None:
-                qi, ci = np.nonzero(partial + spread * qn[:, None] * xn[None] >= best[:, None] - 1e-9)
+def scan(queries: np.ndarray, floor: np.ndarray, block: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, row) whose product may reach the query's ``floor``, with exact products.
+
+    While many pairs live, a column block is one matrix product; once few do, it is summed for those pairs alone.
+    """
+    dims = block.shape[1]
+    q, x = queries @ rotation, block @ rotation
+    cuts = [*range(COLUMNS, dims, COLUMNS), dims]
+    partial, qi, ci = np.zeros((len(q), len(x))), None, None
+    for a, b in zip([0, *cuts], cuts, strict=False):
+        rest = dims - b
+        spread = SIGMAS / np.sqrt(rest) if rest else 0.0
+        qn, xn = spread * np.sqrt((q[:, b:] ** 2).sum(1)), np.sqrt((x[:, b:] ** 2).sum(1))
+        if ci is None:
+            partial += q[:, a:b] @ x[:, a:b].T
+            alive = partial + qn[:, None] * xn[None] >= floor[:, None] - 1e-9
+            if not rest or alive.mean() < SPARSE:
+                qi, ci = np.nonzero(alive)
                 partial = partial[qi, ci]
-            else:
-                stay = partial + spread * qn[qi] * xn[ci] >= best[qi] - 1e-9
-                qi, ci, partial = qi[stay], ci[stay], partial[stay]
-        h = np.nonzero(head >= best[:, None])
-        qi, ci = np.concatenate([h[0], qi]), np.concatenate([h[1], ci + first])
+        else:
+            partial = partial + np.einsum("ij,ij->i", q[qi, a:b], x[ci, a:b])
+            alive = partial + qn[qi] * xn[ci] >= floor[qi] - 1e-9
+            qi, ci, partial = qi[alive], ci[alive], partial[alive]
     return qi, ci, np.einsum("ij,ij->i", queries[qi], block[ci])
 
 
@@ -149,16 +156,18 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vecto
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                lists = index.probed(np.stack(b["v"].to_numpy()))
+                q = np.stack(b["v"].to_numpy())
+                lists = index.probed(q)
+                n = lists.shape[1]
                 yield pd.DataFrame(
-                    {"list": lists.ravel(), "q": np.repeat(b["vid"].to_numpy(), lists.shape[1]), "v": np.repeat(b["v"].to_numpy(), lists.shape[1])}
+                    {"list": lists.ravel(), "q": np.repeat(b["vid"].to_numpy(), n), "v": np.repeat(b["v"].to_numpy(), n), "floor": np.repeat(index.floor(q), n)}
                 )
 
     dealt = materialise(distinct.select("vid", "v").mapInPandas(deal, "list long, vid long, v array<double>"), "ann-lists")
     asked = good.where(is_query).select("id", "h1", "h2")
     ask = materialise(asked.join(distinct.select("h1", "h2", "vid"), ["h1", "h2"]).select("id", "vid"), "ann-queries")
     wanted = distinct.join(ask.select("vid").distinct(), "vid").select("vid", "v")
-    probes = materialise(wanted.mapInPandas(probe, "list long, q long, v array<double>"), "ann-probes")
+    probes = materialise(wanted.mapInPandas(probe, "list long, q long, v array<double>, floor double"), "ann-probes")
     # every list has as many blocks as its size asks for: a row per list reaches the driver
     sizes = dealt.groupBy("list").count().collect()
     asks = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}
@@ -177,10 +186,10 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vecto
         if not len(data) or not len(queries):
             return pd.DataFrame({"q": [], "c": [], "score": []})
         x, q = np.stack(data["v"].to_numpy()), np.stack(queries["v"].to_numpy())
-        qid, cid = queries["q"].to_numpy(), data["vid"].to_numpy()
+        qid, cid, floor = queries["q"].to_numpy(), data["vid"].to_numpy(), queries["floor"].to_numpy()
         parts = []
         for a in range(0, len(q), 256):
-            qi, ci, s = scan(q[a : a + 256], x, rotation, keep)
+            qi, ci, s = scan(q[a : a + 256], floor[a : a + 256], x, rotation)
             parts.append(_best(qid[a : a + 256][qi], cid[ci], s, keep))
         return pd.concat(parts)
 
