@@ -270,15 +270,21 @@ def label_lines(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, least_new: float = 0.2) -> DataFrame:
     """The documents without lines that an earlier document or line has, all columns kept.
 
-    A document of which under ``least_new`` of the characters in lines are new goes as a whole, since what is left is a
-    scrap of a copy. Texts without any line stay as they are. A column ``n_chars`` follows the text.
+    A document of which under ``least_new`` of the characters are in lines that no earlier document has goes as a whole,
+    since what is left is a scrap of a copy; repeats within the document do not count against it. Texts without any line
+    stay as they are. A column ``n_chars`` follows the text.
     """
-    labels = label_lines(docs)
+    slim, classes = line_classes(docs)
+    led = lambda *by: F.struct(*[F.col(f"leader.{c}").alias(c) for c in by]) == F.struct(*by)
+    alone, by = F.col("leader").isNull(), ("doc_id", "mark")
+    labels = slim.join(classes.select("h", "h2", "leader"), ["h", "h2"], "left").select(
+        *by, "line_no", "line_chars", (alone | led(*by, "line_no")).alias("keep"), (alone | led(*by)).alias("own")
+    )
     size = F.sum("line_chars")
     changed = (
         labels.groupBy("doc_id", "mark")
         .agg(
-            F.sum(F.when(F.col("keep"), F.col("line_chars")).otherwise(0)).alias("_new"),
+            F.sum(F.when(F.col("own"), F.col("line_chars")).otherwise(0)).alias("_new"),
             size.alias("_all"),
             F.collect_set(F.when(~F.col("keep"), F.col("line_no"))).alias("_drop"),
         )

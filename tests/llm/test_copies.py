@@ -167,3 +167,10 @@ def test_lone_and_empty_tables(docs_of):
     assert one.near_next == 1.0 and multiset.edited_likeness(docs_of([])).count() == 0
     twice = multiset.edited_likeness(docs_of([(1, "same"), (1, "same"), (None, "x")])).collect()
     assert len(twice) == 3
+
+
+def test_repeats_within_a_document_do_not_count_as_copies(docs_of):
+    line, table = "one line that stands six times and in no other document", [f"a row of the table with number {i}" for i in range(30)]
+    docs = [(0, "\n".join([line] * 6)), (1, "\n".join(table)), (None, "\n".join(["a document without any id says this"] * 6))]
+    out = {r.doc_id: r.text for r in lines.without_repeated_lines(docs_of(docs)).collect()}
+    assert out == {0: line, 1: table[0], None: "a document without any id says this"}
