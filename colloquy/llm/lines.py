@@ -267,30 +267,54 @@ def label_lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def _going(labels: DataFrame, least_new: float) -> DataFrame:
+    """``doc`` of the documents that go, of ``labels(doc, line_no, line_chars, leader)``.
+
+    In the order of ``doc``, one goes if under ``least_new`` of its characters are in lines that no earlier document that
+    stays has. Held against all earlier documents at first, only those that fail there can go; they are decided again with
+    the leaders that the last decision leaves until nothing changes, which settles at least the first open one each time.
+    """
+    few = F.col("_all") - F.col("_old") < least_new * F.col("_all")
+    led = F.struct(*[F.col(f"leader.{c}").alias(c) for c in ("known", "doc_id", "mark")])
+    old = F.sum(F.when(led < F.col("doc"), F.col("line_chars")).otherwise(0))
+    open_ones = labels.groupBy("doc").agg(F.sum("line_chars").alias("_all"), old.alias("_old")).where(few).select("doc", "_all")
+    open_ones = materialise(open_ones, "line-open")
+    repeats = labels.where("leader is not null")
+    theirs = repeats.join(open_ones, "doc").groupBy("doc", "_all", "leader").agg(F.sum("line_chars").alias("chars"))
+    theirs = materialise(theirs, "line-copied")
+    settled = repeats.join(open_ones, "doc", "left_anti").groupBy("leader").agg(F.min("doc").alias("least"))
+    settled = materialise(settled.join(theirs.select("leader").distinct(), "leader", "left_semi"), "line-settled")
+    going, before = open_ones.select("doc"), None
+    while True:
+        mark = going.agg(F.count("*"), F.bit_xor(F.xxhash64("doc"))).first()
+        if mark == before or mark[0] == 0:
+            return going
+        before = mark
+        back = theirs.join(going, "doc", "left_anti").select("leader", F.col("doc").alias("least"))
+        least = settled.unionByName(back).groupBy("leader").agg(F.min("least").alias("least"))
+        copied = theirs.join(least, "leader").where("least < doc").groupBy("doc", "_all").agg(F.sum("chars").alias("_old"))
+        going = materialise(copied.where(few).select("doc"), "line-going")
+
+
 def without_repeated_lines(docs: DataFrame, least_new: float = 0.2) -> DataFrame:
     """The documents without lines that an earlier document or line has, all columns kept.
 
     A document of which under ``least_new`` of the characters are in lines that no earlier document has goes as a whole,
-    since what is left is a scrap of a copy; repeats within the document do not count against it. Texts without any line
-    stay as they are. A column ``n_chars`` follows the text.
+    since what is left is a scrap of a copy; repeats within the document do not count against it. Documents that go lead
+    no lines: the first occurrence in a document that stays is kept. Texts without any line stay as they are. A column
+    ``n_chars`` follows the text.
     """
     slim, classes = line_classes(docs)
-    led = lambda *by: F.struct(*[F.col(f"leader.{c}").alias(c) for c in by]) == F.struct(*by)
-    alone, by = F.col("leader").isNull(), ("doc_id", "mark")
-    labels = slim.join(classes.select("h", "h2", "leader"), ["h", "h2"], "left").select(
-        *by, "line_no", "line_chars", (alone | led(*by, "line_no")).alias("keep"), (alone | led(*by)).alias("own")
-    )
-    size = F.sum("line_chars")
-    changed = (
-        labels.groupBy("doc_id", "mark")
-        .agg(
-            F.sum(F.when(F.col("own"), F.col("line_chars")).otherwise(0)).alias("_new"),
-            size.alias("_all"),
-            F.collect_set(F.when(~F.col("keep"), F.col("line_no"))).alias("_drop"),
-        )
-        .where(F.size("_drop") > 0)
-        .select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_drop", (F.col("_new") < least_new * F.col("_all")).alias("_goes"))
-    )
+    doc = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "mark").alias("doc")
+    found = slim.join(classes.select("h", "h2", "leader"), ["h", "h2"], "left")
+    labels = materialise(found.select(doc, "line_no", "line_chars", "leader"), "line-labels")
+    going = _going(labels, least_new)
+    repeats = labels.where("leader is not null").join(going, "doc", "left_anti").select("doc", "line_no", "leader")
+    at = F.struct("doc", "line_no")
+    first = repeats.groupBy("leader").agg(F.min(at).alias("first"))
+    cut = repeats.join(first, "leader").where(at != F.col("first")).groupBy("doc").agg(F.collect_set("line_no").alias("_drop"))
+    told = cut.withColumn("_goes", F.lit(False)).unionByName(going.select("doc", F.lit(None).cast("array<int>").alias("_drop"), F.lit(True).alias("_goes")))
+    changed = told.select(F.col("doc.doc_id").alias("_id"), F.col("doc.mark").alias("_mark"), "_drop", "_goes")
     changed = materialise(changed, "line-changes")
     text = F.coalesce(F.col("text"), F.lit(""))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_mark"))

@@ -169,6 +169,19 @@ def test_lone_and_empty_tables(docs_of):
     assert len(twice) == 3
 
 
+def _prose(seed, n, size=60):
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefghijklmnop ") for _ in range(size)).strip().replace("  ", " x") for _ in range(n)]
+
+
+def test_lines_of_documents_that_go_are_led_by_those_that_stay(docs_of):
+    ten, (shared,), own, fresh = _prose(1, 10), _prose(2, 1), _prose(3, 4), _prose(4, 4)
+    scraps = [(i, "\n".join([*ten[:9], x])) for i, x in zip((3, 4, 5, 6), fresh, strict=True)]  # each goes, and leads one line of 7
+    docs = [(0, "\n".join(ten)), (1, "\n".join([*ten[:9], shared])), (2, "\n".join([shared, *own])), *scraps, (7, "\n".join(fresh)), (8, "\n".join(fresh))]
+    out = {r.doc_id: r.text for r in lines.without_repeated_lines(docs_of(docs)).collect()}
+    assert out == {0: "\n".join(ten), 2: "\n".join([shared, *own]), 7: "\n".join(fresh)}
+
+
 def test_repeats_within_a_document_do_not_count_as_copies(docs_of):
     line, table = "one line that stands six times and in no other document", [f"a row of the table with number {i}" for i in range(30)]
     docs = [(0, "\n".join([line] * 6)), (1, "\n".join(table)), (None, "\n".join(["a document without any id says this"] * 6))]
