@@ -107,7 +107,11 @@ def one_of_each(docs: DataFrame, differences: int = MAX_DIFFERENCES) -> DataFram
 
     Of several rows with that same id, the one of the least text stays.
     """
-    found = near_duplicates(docs, differences)
+    return first_of_each(docs, near_duplicates(docs, differences))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows that stand for their component in ``found(doc_id, component_id)``, as ``one_of_each`` has them."""
     stay = materialise(found.where("doc_id = component_id").select("doc_id").distinct(), "simhash-stay")
     named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").select(*docs.columns)
     shared = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
