@@ -378,7 +378,7 @@ def dedup_entities(spark, sf_dir):
 def _event_graph(spark, sf_dir) -> G.Graph:
     key = (spark.sparkContext.applicationId, sf_dir + "#events")
     if key not in _GRAPHS:
-        messages = A.event_messages(spark, sf_dir).where("channel <> 'view'")
+        messages = A.event_messages(spark, sf_dir)
         _GRAPHS[key] = G.build_graph(messages, A.channels_of(messages), A.people_of(messages))
     return _GRAPHS[key]
 

@@ -167,3 +167,13 @@ def test_index_on_disk(spark, tmp_path):
     assert again.enrich(limit=2)["enriched"] == 2
     nodes, edges = again.overview()
     assert nodes.count() > 4 and edges.where("type = 'TOPIC'").count() > 0
+
+
+def test_merged_graph_has_the_events_of_all_channels(spark, tmp_path):
+    from colloquy.plans import queries
+
+    spark.sql("SELECT 1L AS conv_id, 0L AS turn, 'user' AS role, 'budget report' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    events = "SELECT id AS event_id, timestamp_ntz'2024-01-01' AS ts, id AS user_id, if(id = 0, 'view', 'click') AS event_type, 1D AS value, '{}' AS props FROM range(2)"
+    spark.sql(events).write.parquet(f"{tmp_path}/events.parquet")
+    nodes = queries.merged_nodes(spark, str(tmp_path)).where("type = 'channel'").collect()
+    assert {"view", "click"} <= {r.name for r in nodes}
