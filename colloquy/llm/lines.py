@@ -4,71 +4,72 @@ Lines link at ``edits`` or fewer insertions, deletions and substitutions. A line
 segments; one of them survives in any line that links. The shorter line of a pair is indexed by its segments, the longer
 one probes the substrings that can align with a segment of each length in reach (both of the multi-match bounds hold).
 Index and probe rows of all distinct lines are dealt by a hash of (length, segment number, segment) once; only rows that
-meet another line there live on. Meeting lines are paired through short keys: where many lines share a segment, as variants
-of one template do, the key also takes the character counts of one of ``2 * edits + 1`` groups of characters, since ``edits`` edits
-change at most ``2 * edits`` characters' counts and so leave one group alike; and only pairs whose counts differ by at most
-``2 * edits`` in sum are paired. That loses no link and keeps lines that merely share a segment apart. Pairs are then
-verified by a banded bit-parallel automaton.
+meet another line there live on, and are paired.
 
-Short lines have less room: under ``SHORT`` characters only equal lines match, under ``MIDDLE`` one edit does.
+Where more than ``CROWD`` rows meet, as variants of one template do, the lines are split finer instead. A cell says where
+the edits may lie: in one interval of the indexed line, or in two with one edit each and the characters between them moved
+by a known shift. A cell's key is all that lies outside of its intervals. Intervals are cut into ``PIECES`` pieces and
+every choice of pieces for the edits becomes a cell of its own, until few lines share a key or the intervals have one
+character, so that all lines that share a key link. No link is lost, and the pairs stay in proportion to the links.
+Pairs are verified by a banded bit-parallel automaton.
+
+The threshold is one number for all lines. Lines under ``least_chars`` characters link to equal ones only: at a distance
+of two edits most of them are one another's neighbours.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch
+from .common import fresh, materialise, quoted, scratch
 from .components import connected_components
 
-SHORT, MIDDLE, EDITS = 10, 20, 2
-#: Lines that may share a segment before their key is refined.
-CROWD = 16
-#: Characters are counted in classes; an edit changes two counts by one at most, and at most two groups of classes.
-GROUPS = 2 * EDITS + 1
-CLASSES = 3 * GROUPS
+EDITS, LEAST_CHARS = 2, 10
+#: Rows that may share a key before the lines are split finer, and the pieces that an interval is cut into.
+CROWD, PIECES = 16, 6
+#: One of so many ids is looked at for keys that a great many rows share; those are not brought together in one task.
+LOOK, HOT, MOST_HOT = 64, 500, 2_000
 #: Bits of the filter that keeps lines without partners from being moved: a bound on what is broadcast for it.
 FILTER_BITS = 24
 
 
-def _allowed(length: Column) -> Column:
-    return F.when(length < SHORT, 0).when(length < MIDDLE, 1).otherwise(EDITS)
-
-
 def _div(a: Column, k: int) -> Column:
     return F.call_function("div", a, F.lit(k)).cast("int")
 
 
-def _segment(length: Column, edits: int, i: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment ``i`` (from 1): short ones first."""
-    k = edits + 1
-    size, long_ones = _div(length, k), length % k
-    before = F.greatest(F.lit(0), long_ones + (i - 1 - k))
-    return size * (i - 1) + before + 1, size + (long_ones > k - i).cast("int")
-
-
-def _hash(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substring(line, start, size))
-
-
-def _index_keys(line: Column, n: Column, edits: int) -> Column:
-    return F.array(*[_hash(line, n, i, *_segment(n, edits, i)) for i in range(1, edits + 2)])
+def _table(names: str, rows: list[tuple]) -> Column:
+    """A row of numbers for each of ``rows``."""
+    return F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names.split(), r, strict=True)]) for r in rows]))
 
 
-def _probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """Substrings of a line of length ``n`` for indexed lines of length ``n - d``; those that are its own index keys are
-    left out."""
-    found = []
-    for d in range(edits + 1):
-        l = n - d  # noqa: E741
-        keys = []
-        for i in range(1, edits + 2):
-            start, size = _segment(l, edits, i)
-            low, high = max(1 - i, d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i))
-            keys += [_hash(line, l, i, start + s, size) for s in range(low, high + 1) if d or s]
-        found.append(F.when(_allowed(l) == edits, F.array(*keys)).otherwise(F.array().cast("array<bigint>")))
-    return F.concat(*found)
+def _segment_keys(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """``key, id`` of ``lines(id, line, n)``; negative ids are probes that are not indexed."""
+    k = edits + 1
+    plan = [(0, i, 0) for i in range(1, k + 1)]
+    for d in range(k):
+        for i in range(1, k + 1):
+            low, high = max(1 - i, d - (k - i)), min(i - 1, d + (k - i))
+            plan += [(d, i, s) for s in range(low, high + 1) if d or s]
+    d, i, s = (F.col(f"at.{c}") for c in "dis")
+    length = (F.col("n") - d).cast("int")
+    dealt = lines.where(F.col("n") >= least).select("id", "line", "n", _table("d i s", plan).alias("at")).where(length >= least)
+    size, longer = _div(length, k), length % k
+    start = size * (i - 1) + F.greatest(F.lit(0), longer + i - (k + 1)) + 1 + s
+    part = F.substring("line", start, size + (i > k - longer).cast("int"))
+    return dealt.select(F.xxhash64(length, i, part).alias("key"), F.when((d == 0) & (s == 0), F.col("id")).otherwise(-F.col("id")).alias("id"))
+
+
+def _trimmed(line: Column) -> Column:
+    """Without blanks at both ends; most lines have none, and looking at their ends costs less than a walk."""
+    blank = F.lit(False)
+    for c in " \t\r":
+        blank |= line.startswith(c) | line.endswith(c)
+    return F.when(blank, F.btrim(line, F.lit(" \t\r"))).otherwise(line)
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -76,34 +77,22 @@ def document_lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n")).alias("line_no", "raw"))
-        .withColumn("line", F.btrim("raw", F.lit(" \t\r")))
+        .withColumn("line", _trimmed(F.col("raw")))
         .where("line <> ''")
         .select("doc_id", "mark", "line_no", "line", F.xxhash64("line").alias("h"))
     )
 
 
 def distinct_lines(lines: DataFrame, table: str) -> DataFrame:
-    """A row per distinct line: ``id`` (from 1), ``h, line, n, first`` (its first occurrence), ``copies``; written once."""
+    """A row per distinct line: ``id`` (from 1), ``h, line, n, copies``; written once."""
     spark = lines.sparkSession
-    found = lines.groupBy("h", "line").agg(
-        F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "mark", "line_no")).alias("first"), F.count("*").alias("copies")
-    )
+    found = lines.groupBy("h", "line").agg(F.count("*").alias("copies"))
     path = scratch(spark, table)
-    numbered = found.select((F.monotonically_increasing_id() + 1).alias("id"), "h", "line", F.length("line").alias("n"), "first", "copies")
+    numbered = found.select((F.monotonically_increasing_id() + 1).alias("id"), "h", "line", F.length("line").alias("n"), "copies")
     numbered.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(numbered.schema).parquet(path)
 
 
-def _counts(line: Column) -> Column:
-    """How many characters of each class a line has: printable ASCII by code; others are in no class."""
-    sets = [[c for c in range(33, 127) if c % CLASSES == g] for g in range(CLASSES)]
-    return F.array(*[F.regexp_count(line, F.lit("[" + "".join(f"\\x{c:02x}" for c in cs) + "]")) for cs in sets])
-
-
-def _apart(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -116,55 +105,61 @@ def _same_ends(a: Column, b: Column, most: Column) -> Column:
     return F.aggregate(F.filter(steps, lambda s: s <= most), F.lit(0), longer)
 
 
-def within(a: Column, b: Column, edits: Column) -> Column:
-    """Whether two strings are at ``edits`` or fewer edits: a banded bit-parallel automaton.
+def _read(a: Column, b: Column, edits: int, steps: Column) -> Column:
+    """The state after ``steps`` characters of ``a``, of arrays of characters ``a`` and ``b``: a banded bit-parallel automaton.
 
-    State ``r_e`` has a bit for each diagonal of the band; it is set if the characters read so far can end on that
-    diagonal with ``e`` edits. A character's step matches (and), substitutes (same bit), deletes (one bit down) and inserts
-    (one bit up) all diagonals at once.
+    The state has a lane of ``2 * edits + 1`` bits for each number of edits up to ``edits``, a bit for each diagonal of the
+    band; it is set if the characters read so far can end on that diagonal with so many edits. A character's step matches
+    (and), substitutes (next lane), deletes (next lane, one bit down) and inserts (next lane, one bit up) in all lanes and
+    diagonals at once. A state of 0 stays.
     """
-    k, width = EDITS, 2 * EDITS + 1
-    mask = (1 << width) - 1
-    names = [f"r{e}" for e in range(k + 1)]
-    zero = F.lit(0)
-
-    def closed(r: list[Column]) -> list[Column]:
-        out = [r[0]]
-        for e in range(1, k + 1):  # insertions move up without reading
-            out.append(r[e].bitwiseOR(F.shiftleft(out[e - 1], 1).bitwiseAND(F.lit(mask))))
-        return out
-
-    start = closed([F.lit(1 << k)] + [zero] * k)
-    begin = F.struct(*[x.alias(n) for x, n in zip(start, names, strict=True)])
-
-    def run(both: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            hit = zero
-            for j in range(width):
-                at = i + (j - k)
-                hit = hit.bitwiseOR(F.when((at >= 0) & (F.get(both["b"], at) == F.get(both["a"], i)), 1 << j).otherwise(0))
-            r = [acc[n] for n in names]
-            new = [r[0].bitwiseAND(hit)]
-            for e in range(1, k + 1):
-                new.append(r[e].bitwiseAND(hit).bitwiseOR(r[e - 1]).bitwiseOR(F.shiftright(r[e - 1], 1)))
-            return F.struct(*[x.alias(n) for x, n in zip(closed(new), names, strict=True)])
-
-        def accept(acc: Column) -> Column:
-            end = F.call_function("shiftleft", F.lit(1), F.length(b) - F.length(a) + k)
-            ok = [(edits >= e) & (acc[n].bitwiseAND(end) != 0) for e, n in enumerate(names)]
-            return ok[0] | ok[1] | ok[2]
-
-        return F.aggregate(F.sequence(F.lit(0), F.length(a) - 1), begin, step, accept)
-
-    found = _let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), run)
+    width = 2 * edits + 1
+    lanes = edits + 1
+    every = sum(1 << width * e for e in range(lanes))
+    whole = (1 << width * lanes) - 1
+    not_low, not_high = whole & ~every, whole & ~(every << (width - 1))  # bits that can move down, or up, within their lane
+    bits = lambda n: F.lit(n).cast("long")
+
+    def closed(r: Column) -> Column:
+        for _ in range(edits):  # insertions move up without reading
+            r = r.bitwiseOR(F.shiftleft(r.bitwiseAND(bits(not_high)), width + 1).bitwiseAND(bits(whole)))
+        return r
+
+    def step(r: Column, i: Column) -> Column:
+        x = F.get(a, i)
+        hits = [F.when(F.get(b, i + (j - edits)) == x, every << j).otherwise(0) for j in range(width)]
+        hit = reduce(lambda p, q: p.bitwiseOR(q), hits).cast("long")
+        moved = r.bitwiseOR(F.shiftright(r.bitwiseAND(bits(not_low)), 1))
+        new = r.bitwiseAND(hit).bitwiseOR(F.shiftleft(moved, width).bitwiseAND(bits(whole)))
+        return F.when(r == 0, r).otherwise(closed(new))
+
+    start = 1 << edits
+    for _ in range(edits):
+        start |= (start & not_high) << (width + 1) & whole
+    return F.when(steps > 0, F.aggregate(F.sequence(F.lit(0), steps - 1), bits(start), step)).otherwise(bits(start))
+
+
+#: Characters after which most strings that are not alike have left the band.
+_HEAD = 24
+
+
+def within(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """Whether two strings are at ``edits`` or fewer edits."""
+    width = 2 * edits + 1
+    chars = lambda x: F.split(x, "")
+    ends = F.call_function("shiftleft", F.lit(sum(1 << width * e for e in range(edits + 1))).cast("long"), F.length(b) - F.length(a) + edits)
+    read = lambda x, y, n: _let(F.struct(chars(x).alias("a"), chars(y).alias("b")), lambda v: _read(v["a"], v["b"], edits, n))
+    long_ones = F.length(a) > 2 * _HEAD
+    head = read(F.substring(a, 1, _HEAD), F.substring(b, 1, _HEAD + edits), F.lit(_HEAD))
     return (
         F.when(F.abs(F.length(a) - F.length(b)) > edits, False)
         .when(F.length(a) == 0, True)
-        .otherwise(F.coalesce(found, F.lit(False)))
+        .when(long_ones & (head == 0), False)
+        .otherwise(read(a, b, F.length(a)).bitwiseAND(ends) != 0)
     )
 
 
-def linked(a: Column, b: Column, edits: Column) -> Column:
+def linked(a: Column, b: Column, edits: int = EDITS) -> Column:
     """``within`` on what is left between the common start and the common end."""
     rest = lambda p: F.struct(a.substr(p + 1, F.length(a)).alias("a"), b.substr(p + 1, F.length(b)).alias("b"))
     turned = lambda r: F.struct(F.reverse(r["a"]).alias("a"), F.reverse(r["b"]).alias("b"))
@@ -179,12 +174,12 @@ def linked(a: Column, b: Column, edits: Column) -> Column:
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """``rows(key, id, counts)``; positive ids are indexed and probe, negative ones probe -> distinct pairs that may link."""
-    left = rows.where("id > 0").select("key", F.col("id").alias("u"), F.col("counts").alias("cu"))
-    right = rows.select("key", F.col("id").alias("w"), F.abs("id").alias("v"), F.col("counts").alias("cv"))
+    """``rows(key, id)``; positive ids are indexed and probe, negative ones probe -> pairs that may link."""
+    left = rows.where("id > 0").select("key", F.col("id").alias("u"))
+    right = rows.select("key", F.col("id").alias("w"), F.abs("id").alias("v"))
     other = (F.col("u") != F.col("v")) & ((F.col("w") < 0) | (F.col("u") < F.col("w")))
-    met = left.join(right, (left["key"] == right["key"]) & other & (_apart(F.col("cu"), F.col("cv")) <= 2 * EDITS))
-    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    met = left.join(right, (left["key"] == right["key"]) & other)
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -196,51 +191,145 @@ def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return few.drop("_word", "_bits").join(ids, "id")
 
 
-def line_links(distinct: DataFrame) -> DataFrame:
-    """``u, v``: ids of different lines within their allowed edits."""
-    line, n, none = F.col("line"), F.col("n"), F.array().cast("array<bigint>")
-    own = F.when(_allowed(n) == 2, _index_keys(line, n, 2)).when(_allowed(n) == 1, _index_keys(line, n, 1)).otherwise(none)
-    keys = F.concat(own, _probe_keys(line, n, 2), _probe_keys(line, n, 1))
-    dealt = distinct.where(n >= SHORT).select("id", _allowed(n).alias("last"), F.posexplode(keys).alias("at", "key"))
-    rows = dealt.select("key", F.when(F.col("at") <= F.col("last"), F.col("id")).otherwise(-F.col("id")).alias("id"))
+def _met(make: Callable[[DataFrame], DataFrame], base: DataFrame, *contents: str) -> DataFrame:
+    """The rows of ``make(base)``, which have ``key`` and a signed ``id``, whose key is shared and indexed, with ``crowd``.
+
+    A key is left out if its rows agree in one of ``contents``: then a cell with fewer characters has their links. Rows are counted key by key in a window; keys that a look at
+    a part of the ids finds in a great many rows are summed up instead, and their rows stay where they are.
+    """
+    look = make(base.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(LOOK)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
+    hot = look.where(F.col("n") >= HOT).orderBy(F.desc("n"), "key").limit(MOST_HOT).select("key", F.lit(True).alias("hot"))
+    hot = materialise(hot, "line-hot")
+    rows = make(base)
+    many = hot.count() > 0
+    if many:
+        rows = rows.join(F.broadcast(hot), "key", "left")  # at most MOST_HOT rows
+    sums = {"crowd": F.count("*"), "high": F.max("id")} | {f"{f}_{c}": g(c) for c in contents for f, g in (("least", F.min), ("most", F.max))}
     by = W.partitionBy("key")
-    crowd = rows.select("key", "id", F.count("*").over(by).alias("crowd"), F.max("id").over(by).alias("high"))
-    meeting = materialise(crowd.where("crowd > 1 and high > 0").select("key", "id", "crowd"), "line-rows")
-    ids = meeting.select(F.abs("id").alias("id")).distinct()
-    texts = materialise(_among(distinct.select("id", "line", "n"), ids).withColumn("counts", _counts(line)), "line-texts")
-    told = meeting.withColumn("line_id", F.abs("id")).join(texts.select(F.col("id").alias("line_id"), "counts"), "line_id")
-    few = told.where(F.col("crowd") <= CROWD).select("key", "id", "counts")
-    group = F.explode(F.array(*[F.xxhash64("key", F.lit(g), F.slice("counts", 3 * g + 1, 3)) for g in range(GROUPS)]))
-    finer = told.where(F.col("crowd") > CROWD).select(group.alias("key"), "id", "counts")
-    pairs = _pairs(few.union(finer))
+    told = (rows.where("hot is null").drop("hot") if many else rows).withColumns({c: f.over(by) for c, f in sums.items()})
+    if many:
+        warm = rows.where("hot").drop("hot")
+        told = told.unionByName(warm.join(F.broadcast(warm.groupBy("key").agg(*[f.alias(c) for c, f in sums.items()])), "key"))
+    keep = reduce(lambda x, y: x & y, [F.col(f"least_{c}") != F.col(f"most_{c}") for c in contents], F.col("crowd") > 1)
+    return told.where(keep & (F.col("high") > 0)).drop(*[c for c in sums if c != "crowd"])
+
+
+_CELL = ["l", "d", "s", "a1", "b1", "a2", "b2"]
+
+
+def _cells(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """One interval over the whole line, for each length of an indexed line in reach."""
+    plan = F.explode(F.array(*[F.lit(d) for d in range(edits + 1)])).alias("d")
+    found = lines.select("id", "line", F.col("n").cast("int").alias("n"), plan).withColumn("l", F.col("n") - F.col("d")).where(F.col("l") >= least)
+    signed = F.when(F.col("d") == 0, F.col("id")).otherwise(-F.col("id")).alias("id")
+    none = F.lit(None).cast("int")
+    return found.select(signed, "line", "l", "d", none.alias("s"), F.lit(0).alias("a1"), F.col("l").alias("b1"), none.alias("a2"), none.alias("b2"))
+
+
+def _finer(cells: DataFrame, edits: int) -> DataFrame:
+    """Cells of the next level with their ``key``; ``c1`` and ``c2`` are hashes of what two intervals hold."""
+    shifts = {0: (0, -1, 1), 1: (0, 1), 2: (1,)}
+    one = [(i, i, d, None) for i in range(PIECES) for d in range(edits + 1)]
+    if edits > 1:
+        one += [(i, j, d, s) for i in range(PIECES) for j in range(i + 1, PIECES) for d, ss in shifts.items() for s in ss]
+    two = [(i, j) for i in range(PIECES) for j in range(PIECES)]
+    cut = lambda a, b, i: F.col(a) + _div((F.col(b) - F.col(a)) * i, PIECES)
+    some = lambda a, b, a0, b0: (F.col(b) > F.col(a)) | (F.col(a0) == F.col(b0))
+    whole = cells.where("s is null")
+    alone = whole.select("id", "line", "l", "d", "a1", "b1", _table("i j d s", [(i, j, d, 9 if s is None else s) for i, j, d, s in one]).alias("at")).where("at.d = d")
+    i, j, s = F.col("at.i"), F.col("at.j"), F.col("at.s")
+    split = s != 9
+    none = F.lit(None).cast("int")
+    ends = {"na1": cut("a1", "b1", i), "nb1": cut("a1", "b1", i + 1), "na2": cut("a1", "b1", j), "nb2": cut("a1", "b1", j + 1)}
+    first = alone.withColumns(ends).where(some("na1", "nb1", "a1", "b1") & some("na2", "nb2", "a1", "b1"))
+    first = first.where((F.col("a1") < F.col("b1")) | ((i == PIECES - 1) & (j == PIECES - 1)))
+    first = first.select(
+        F.when(split & (s != 0), -F.abs("id")).otherwise(F.col("id")).alias("id"), "line", "l", "d", F.when(split, s).alias("s"),
+        F.col("na1").alias("a1"), F.col("nb1").alias("b1"), F.when(split, F.col("na2")).otherwise(none).alias("a2"), F.when(split, F.col("nb2")).otherwise(none).alias("b2"),
+    )
+    both = cells.where("s is not null").select("id", "line", *_CELL, _table("i j", two).alias("at"))
+    ends = {"na1": cut("a1", "b1", i), "nb1": cut("a1", "b1", i + 1), "na2": cut("a2", "b2", j), "nb2": cut("a2", "b2", j + 1)}
+    second = both.withColumns(ends).where(some("na1", "nb1", "a1", "b1") & some("na2", "nb2", "a2", "b2"))
+    last = lambda a, b, x: (F.col(a) < F.col(b)) | (x == PIECES - 1)
+    second = second.where(last("a1", "b1", i) & last("a2", "b2", j)).select(
+        "id", "line", "l", "d", "s", *[F.col(f"n{c}").alias(c) for c in ("a1", "b1", "a2", "b2")]
+    )
+    cells = first.unionByName(second)
+    # what lies outside of the intervals, and inside; places are counted on the indexed line
+    at = lambda a, b: F.substring("line", a + 1, b - a)
+    a1, b1, a2, b2, l, d, s = (F.col(c) for c in ("a1", "b1", "a2", "b2", "l", "d", "s"))  # noqa: E741
+    outside = F.when(s.isNull(), F.xxhash64(at(F.lit(0), a1), at(b1 + d, l + d))).otherwise(
+        F.xxhash64(at(F.lit(0), a1), at(b1 + s, a2 + s), at(b2 + d, l + d))
+    )
+    # with the same characters from the left in the first interval, or from the right in the second, no edit lies in it
+    inside = [F.when(s.isNull(), F.col("id")).otherwise(F.xxhash64(x, F.lit(n))) for n, x in ((1, at(a1, b1)), (2, at(a2 + d, b2 + d)))]
+    return cells.select(
+        F.xxhash64("l", "a1", "b1", F.coalesce("a2", F.lit(-1)), F.coalesce("b2", F.lit(-1)), outside).alias("key"),
+        "id", "line", *_CELL, inside[0].alias("c1"), inside[1].alias("c2"),
+    )
+
+
+def _crowded_pairs(crowded: DataFrame, edits: int, least: int) -> DataFrame | None:
+    """Pairs among ``crowded(id, line, n)`` that may link, by ever finer cells; a level with no crowd ends it."""
+    cells, found = _cells(crowded, edits, least), None
+    while True:
+        level = materialise(_met(lambda c: _finer(c, edits), cells, "c1", "c2"), "line-cells")
+        done = (F.col("crowd") <= CROWD) | ((F.col("b1") - F.col("a1") <= 1) & F.coalesce(F.col("b2") - F.col("a2") <= 1, F.lit(True)))
+        pairs = materialise(_pairs(level.where(done).select("key", "id")).distinct(), "line-pairs")
+        found = pairs if found is None else found.union(pairs)
+        cells = level.where(~done).select("id", "line", *_CELL).distinct()
+        if cells.isEmpty():
+            return found
+
+
+def line_links(distinct: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``u, v``: ids of different lines of ``least_chars`` or more characters at ``edits`` (0 to 2) or fewer edits."""
+    if edits not in (0, 1, 2):
+        raise ValueError("edits must be 0, 1 or 2")
+    least = max(least_chars, edits + 1)
+    if not edits:
+        return distinct.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
+    met = materialise(_met(lambda x: _segment_keys(x, edits, least), distinct.select("id", "line", "n")), "line-rows")
+    ids = met.select(F.abs("id").alias("id")).distinct()
+    texts = materialise(_among(distinct.select("id", "line", "n"), ids), "line-texts")
+    pairs = _pairs(met.where(F.col("crowd") <= CROWD))
+    crowded = met.where(F.col("crowd") > CROWD).select(F.abs("id").alias("id")).distinct()
+    if not crowded.isEmpty():
+        pairs = pairs.union(_crowded_pairs(texts.join(crowded, "id"), edits, least))
     u = texts.select(F.col("id").alias("u"), F.col("line").alias("a"), F.col("n").alias("na"))
     v = texts.select(F.col("id").alias("v"), F.col("line").alias("b"), F.col("n").alias("nb"))
-    edits = _allowed(F.least("na", "nb"))
-    both = pairs.join(u, "u").join(v, "v").where(F.abs(F.col("na") - F.col("nb")) <= edits)
+    both = pairs.distinct().join(u, "u").join(v, "v").where(F.abs(F.col("na") - F.col("nb")) <= edits)
     return both.where(linked(F.col("a"), F.col("b"), edits)).select("u", "v")
 
 
-def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences ``doc_id, mark, line_no, h, line_chars`` and, for each line that repeats or links, ``h, h2, first, leader, links, copies``."""
-    lines = document_lines(docs)
+def line_classes(lines: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """For each line that repeats or links: ``h, h2, root, links, copies``, where ``root`` names its class."""
     distinct = distinct_lines(lines, "lines")
-    links = materialise(line_links(distinct), "line-links")
+    links = materialise(line_links(distinct, edits, least_chars), "line-links")
     counted = links.select(F.col("u").alias("id")).union(links.select("v")).groupBy("id").agg(F.count("*").alias("links"))
     roots = connected_components(links).withColumnRenamed("u", "id")
     named = (
-        distinct.select("id", "h", F.xxhash64("line", F.lit(1)).alias("h2"), "first", "copies")
+        distinct.select("id", "h", F.xxhash64("line", F.lit(1)).alias("h2"), "copies")
         .join(counted, "id", "left")
         .join(roots, "id", "left")
         .where("copies > 1 or links is not null")
-        .withColumn("root", F.coalesce("root", "id"))
     )
-    leader = named.groupBy("root").agg(F.min("first").alias("leader"))
-    classes = named.join(leader, "root").select("h", "h2", "first", "leader", F.coalesce("links", F.lit(0)).alias("links"), "copies")
+    return named.select("h", "h2", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
+
+
+def _labelled(docs: DataFrame, edits: int, least_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of lines alone in their class, and those of other classes with ``leader``, the first of the class."""
+    lines = document_lines(docs)
     slim = lines.select("doc_id", "mark", "line_no", "h", F.xxhash64("line", F.lit(1)).alias("h2"), F.length("line").alias("line_chars"))
-    return slim, materialise(classes, "line-classes")
+    classes = materialise(line_classes(lines, edits, least_chars), "line-classes")
+    found = materialise(slim.join(classes, ["h", "h2"], "left").drop("h", "h2"), "line-labels")
+    shared = found.where("root is not null")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "mark", "line_no")
+    leaders = shared.groupBy("root").agg(F.min(place).alias("leader"))
+    return found.where("root is null"), shared.join(leaders, "root").withColumn("leads", place == F.col("leader"))
 
 
-def label_lines(docs: DataFrame) -> DataFrame:
+def label_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """A row per line that is not blank: ``doc_id, mark, line_no, line_chars, class_doc_id, class_line_no, links, copies, keep``.
 
     The class is named by its first occurrence, by doc_id (null first), a hash of the text, and line number; that one alone
@@ -248,86 +337,41 @@ def label_lines(docs: DataFrame) -> DataFrame:
     empty texts have no lines; rows that agree in doc_id and text are one document and kept or dropped alike; other
     columns are ignored; an empty table gives an empty one.
     """
-    slim, classes = line_classes(docs)
-    found = slim.join(classes, ["h", "h2"], "left")
-    leads = (
-        F.col("leader.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("leader.mark") == F.col("mark")) & (F.col("leader.line_no") == F.col("line_no"))
-    )
-    alone = F.col("leader").isNull()
-    return found.select(
-        "doc_id",
-        "mark",
-        F.col("line_no").cast("int").alias("line_no"),
-        "line_chars",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("leader.doc_id")).alias("class_doc_id"),
-        F.when(alone, F.col("line_no")).otherwise(F.col("leader.line_no")).cast("int").alias("class_line_no"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("links"),
-        F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
-        (alone | leads).alias("keep"),
-    )
-
-
-def _going(labels: DataFrame, least_new: float) -> DataFrame:
-    """``doc`` of the documents that go, of ``labels(doc, line_no, line_chars, leader)``.
-
-    In the order of ``doc``, one goes if under ``least_new`` of its characters are in lines that no earlier document that
-    stays has. Held against all earlier documents at first, only those that fail there can go; they are decided again with
-    the leaders that the last decision leaves until nothing changes, which settles at least the first open one each time.
-    """
-    few = F.col("_all") - F.col("_old") < least_new * F.col("_all")
-    led = F.struct(*[F.col(f"leader.{c}").alias(c) for c in ("known", "doc_id", "mark")])
-    old = F.sum(F.when(led < F.col("doc"), F.col("line_chars")).otherwise(0))
-    open_ones = labels.groupBy("doc").agg(F.sum("line_chars").alias("_all"), old.alias("_old")).where(few).select("doc", "_all")
-    open_ones = materialise(open_ones, "line-open")
-    repeats = labels.where("leader is not null")
-    theirs = repeats.join(open_ones, "doc").groupBy("doc", "_all", "leader").agg(F.sum("line_chars").alias("chars"))
-    theirs = materialise(theirs, "line-copied")
-    settled = repeats.join(open_ones, "doc", "left_anti").groupBy("leader").agg(F.min("doc").alias("least"))
-    settled = materialise(settled.join(theirs.select("leader").distinct(), "leader", "left_semi"), "line-settled")
-    going, before = open_ones.select("doc"), None
-    while True:
-        mark = going.agg(F.count("*"), F.bit_xor(F.xxhash64("doc"))).first()
-        if mark == before or mark[0] == 0:
-            return going
-        before = mark
-        back = theirs.join(going, "doc", "left_anti").select("leader", F.col("doc").alias("least"))
-        least = settled.unionByName(back).groupBy("leader").agg(F.min("least").alias("least"))
-        copied = theirs.join(least, "leader").where("least < doc").groupBy("doc", "_all").agg(F.sum("chars").alias("_old"))
-        going = materialise(copied.where(few).select("doc"), "line-going")
-
-
-def without_repeated_lines(docs: DataFrame, least_new: float = 0.2) -> DataFrame:
-    """The documents without lines that an earlier document or line has, all columns kept.
-
-    A document of which under ``least_new`` of the characters are in lines that no earlier document has goes as a whole,
-    since what is left is a scrap of a copy; repeats within the document do not count against it. Documents that go lead
-    no lines: the first occurrence in a document that stays is kept. Texts without any line stay as they are. A column
-    ``n_chars`` follows the text.
+    alone, shared = _labelled(docs, edits, least_chars)
+    whose = lambda d, i, links, copies, keep: [
+        "doc_id", "mark", F.col("line_no").cast("int").alias("line_no"), "line_chars",
+        d.alias("class_doc_id"), i.cast("int").alias("class_line_no"), links.cast("long").alias("links"), copies.cast("long").alias("copies"), keep.alias("keep"),
+    ]
+    own = whose(F.col("doc_id"), F.col("line_no"), F.lit(0), F.lit(1), F.lit(True))
+    led = whose(F.col("leader.doc_id"), F.col("leader.line_no"), F.col("links"), F.col("copies"), F.col("leads"))
+    return alone.select(*own).union(shared.select(*led))
+
+
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """The documents without lines that an earlier document or line has, all columns kept, whatever their names.
+
+    Only lines go, so the first of each class always stays somewhere. Lines under ``least_chars`` characters stay: they
+    repeat by chance. A document of which no line is left goes; one that had none (null, empty, blank) stays as it is.
+    Rows that agree in doc_id and text lose the same lines; an empty table gives an empty one. A column ``n_chars`` follows
+    the text.
     """
-    slim, classes = line_classes(docs)
-    doc = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "mark").alias("doc")
-    found = slim.join(classes.select("h", "h2", "leader"), ["h", "h2"], "left")
-    labels = materialise(found.select(doc, "line_no", "line_chars", "leader"), "line-labels")
-    going = _going(labels, least_new)
-    repeats = labels.where("leader is not null").join(going, "doc", "left_anti").select("doc", "line_no", "leader")
-    at = F.struct("doc", "line_no")
-    first = repeats.groupBy("leader").agg(F.min(at).alias("first"))
-    cut = repeats.join(first, "leader").where(at != F.col("first")).groupBy("doc").agg(F.collect_set("line_no").alias("_drop"))
-    told = cut.withColumn("_goes", F.lit(False)).unionByName(going.select("doc", F.lit(None).cast("array<int>").alias("_drop"), F.lit(True).alias("_goes")))
-    changed = told.select(F.col("doc.doc_id").alias("_id"), F.col("doc.mark").alias("_mark"), "_drop", "_goes")
-    changed = materialise(changed, "line-changes")
+    repeats = _labelled(docs, edits, least_chars)[1].where(~F.col("leads") & (F.col("line_chars") >= least_chars))
+    cut = repeats.groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("lines"))
+    key, own, other, cuts, new = fresh(docs, 5)
+    changed = materialise(cut.select(F.col("doc_id").alias(own), F.col("mark").alias(other), F.col("lines").alias(cuts)), "line-changes")
     text = F.coalesce(F.col("text"), F.lit(""))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_mark"))
-    joined = docs.withColumn("_key", F.xxhash64(text)).join(changed, on, "left").where("_goes is null or not _goes")
-    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("_drop"), i))
-    now = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(key) == F.col(other))
+    joined = docs.withColumn(key, F.xxhash64(text)).join(changed, on, "left")
+    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(cuts), i))
+    joined = joined.withColumn(new, F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    left = joined.where(F.col(cuts).isNull() | (F.btrim(new, F.lit(" \t\r\n")) != ""))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("_text").alias("text"))
+            columns.append(F.col(new).alias("text"))
         elif c == "n_chars":
-            changed_n = F.length("_text").cast(docs.schema["n_chars"].dataType)
-            columns.append(F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(changed_n).alias("n_chars"))
+            changed_n = F.length(new).cast(docs.schema["n_chars"].dataType)
+            columns.append(F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(changed_n).alias("n_chars"))
         else:
-            columns.append(F.col(c))
-    return joined.withColumn("_text", now).select(*columns)
+            columns.append(F.col(quoted(c)))
+    return left.select(*columns)
