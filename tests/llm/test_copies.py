@@ -1,7 +1,7 @@
 import random
 from itertools import combinations
 
-from colloquy.llm import lines, multiset, simhash
+from colloquy.llm import lines, multiset, near_copies, simhash
 from colloquy.llm.components import connected_components
 from pyspark.sql import functions as F
 
@@ -43,6 +43,42 @@ def test_simhash_links_match_all_pairs(spark):
     assert groups([got.get(f, f) for f in fps]) == groups(want)
 
 
+def test_simhash_fingerprint_of_each_bit():
+    from xxhash import xxh64
+
+    r = random.Random(8)
+    words = [r.choice(["Ab", "é", "zz", "É", "x" * 30]) + str(r.randrange(50)) for _ in range(300)]
+    for text, n in ((" ".join(words), 3), ("\t".join(words[:40]) + "\n", 5), ("one TWO", 3), ("", 3), (None, 3)):
+        parts = ["".join(c.lower() if c.isascii() else c for c in w) for w in (text or "").split()]
+        runs = [" ".join(parts[i : i + n]) for i in range(max(1, len(parts) - n + 1))] if parts else []
+        h = [xxh64(x.encode(), seed=42).intdigest() for x in runs]
+        assert simhash.fingerprint(text, n) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_segments_and_crowds(spark, monkeypatch):
+    r = random.Random(12)
+    base = [r.getrandbits(64) for _ in range(30)]
+    family = [base[0] ^ sum(1 << b for b in r.sample(range(64), r.randrange(4))) for _ in range(150)]
+    fps = [f - (1 << 64) if f >> 63 else f for f in dict.fromkeys(base + family + [f ^ 5 << 40 for f in base])]
+    near = [(i, j) for i, j in combinations(range(len(fps)), 2) if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 2]
+    want = union_find(len(fps), near)
+    groups = lambda names: {frozenset(i for i, x in enumerate(names) if x == n) for n in names}
+    rows = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for crowd, segments in ((1_000, 2), (8, 2), (8, 1), (8, 3)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        got = {x.u: x.root for x in connected_components(simhash.links(rows, segments=segments)).collect()}
+        assert groups([got.get(f, f) for f in fps]) == groups(want)
+    monkeypatch.setattr(simhash, "CROWD", 1_000)
+    assert {tuple(sorted(x)) for x in simhash.links(rows).collect()} == {tuple(sorted((fps[i], fps[j]))) for i, j in near}
+
+
+def test_one_of_each_knows_rows_by_id_and_text(docs_of):
+    a, b = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
+    rows = docs_of([(3, a), (5, b), (5, a), (7, a.upper()), (7, " ".join(f"c{i}" for i in range(90))), (7, " ".join(f"d{i}" for i in range(90)))])
+    for stage in (simhash.one_of_each, near_copies.one_of_each):
+        assert sorted((r.doc_id, r.text[0]) for r in stage(rows).collect()) == [(3, "a"), (5, "b"), (7, "c"), (7, "d")]
+
+
 def test_simhash_rows(docs_of):
     text = " ".join(f"w{i}" for i in range(400))
     rows = [(5, text), (3, text.upper()), (9, None), (8, ""), (7, " \t\n"), (1, "one two"), (None, text), (5, text), (2, "long " * 50_000)]
@@ -101,12 +137,28 @@ def test_line_links_match_all_pairs(docs_of):
     assert all(r.keep == ((r.doc_id, r.line_no) == (r.class_doc_id, r.class_line_no)) for r in rows)
 
 
+def test_numbered_template_lines(docs_of, monkeypatch):
+    monkeypatch.setattr(lines, "LOOK", 1)  # some keys count as hot
+    monkeypatch.setattr(lines, "HOT", 200)
+    r = random.Random(6)
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    texts = [f"Order {number(5)} was shipped to you" for _ in range(300)] + [f"{number(2)} items of kind {number(3)} were sold in all" for _ in range(150)]
+    texts += ["Order " + mutated(r, x[6:11], 2) + x[11:] for x in texts[:20]]
+    names = sorted(set(texts))
+    near = [(a, b) for a, b in combinations(names, 2) if abs(len(a) - len(b)) <= 2 and a[:3] == b[:3] and edits(a, b) <= 2]
+    near += [(a, b) for a, b in combinations(names, 2) if abs(len(a) - len(b)) <= 2 and a[:3] != b[:3] and edits(a, b) <= 2]
+    rows = lines.label_lines(docs_of(list(enumerate(names)))).collect()
+    links = {n: sum(n in p for p in near) for n in names}
+    assert {names[x.doc_id]: x.links for x in rows} == links and sum(links.values()) > 400
+
+
 def test_lines_leave_documents(docs_of):
     boiler = "this line of some length stands in many documents"
-    docs = [(1, boiler + "\nfirst text of its own and some more words to keep it"), (2, boiler + ".\nsecond text, quite another one, with words of its own"), (3, boiler), (4, None), (5, "")]
+    docs = [(1, boiler + "\nfirst text of its own and some more words to keep it"), (2, boiler + ".\nsecond text, quite another one, with words of its own\nYes."), (3, boiler), (4, None), (5, ""), (6, "Yes.")]
+    docs += [(7, "\n".join([boiler] * 20 + ["unique short fact"]))]
     out = {r.doc_id: (r.text, r.n_chars) for r in lines.without_repeated_lines(docs_of(docs)).collect()}
-    second = "second text, quite another one, with words of its own"
-    assert out == {1: (docs[0][1], len(docs[0][1])), 2: (second, len(second)), 4: (None, 0), 5: ("", 0)}
+    second = "second text, quite another one, with words of its own\nYes."
+    assert out == {1: (docs[0][1], len(docs[0][1])), 2: (second, len(second)), 4: (None, 0), 5: ("", 0), 6: ("Yes.", 4), 7: ("unique short fact", 17)}
     assert lines.without_repeated_lines(docs_of([])).count() == 0 and lines.label_lines(docs_of([])).count() == 0
 
 
