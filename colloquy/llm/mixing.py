@@ -1,25 +1,31 @@
 """Mixing sources to target weights by entropy balancing.
 
-Base rates of one copy per document are tilted exponentially, ``rate = exp(lambda_source)``, so that each source's words
-meet its target. The convex dual has one coordinate per source and its gradient and Hessian are sums over the source's
-documents, which are pre-aggregated once; Newton's steps then run on all sources' rows in parallel. Rates are rounded
-into whole copies: classes of equal (source, size) are decided longest first, each near its rate and only as far as the
-rest of the source can still meet the target, so a source misses its target by less than its shortest document.
+Documents start at a rate of one copy. Of all rates that meet each source's target of words, and stay under ``cap``, those
+are taken that are closest to it in relative entropy: ``rate = min(cap, exp(tilt * size))`` with the sizes of a source in
+units of their mean. The tilts are the coordinates of the convex dual, one for each source's constraint on words. They have
+no closed form; Newton's steps run on all sources at once, each step a distributed sum of gradient and curvature over the
+classes of equal (source, size), to which documents are added up once.
+
+Rates are then rounded into whole copies, from the longest class of a source to the shortest; what the rounding of a class
+adds or leaves in words goes to the next, so a source misses its target by about its shortest document.
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise, quoted
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one (source, size) class that are ranked together.
 RANKED = 2_000
-NEWTON_STEPS = 64
+#: Most steps of Newton's method, and the relative miss of a source's words that ends it.
+NEWTON_STEPS, MISS = 60, 1e-9
 
 
 def targets(by_source: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame:
@@ -47,35 +53,64 @@ def targets(by_source: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame
     )
 
 
-def tilts(goals: DataFrame) -> DataFrame:
-    """Adds ``tilt`` (the dual coordinate) and ``rate`` by Newton's method on ``size * exp(l) - target * l``."""
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    step = lambda lam, _: lam - 1 + ratio * F.exp(-lam)
-    tilt = F.when(ratio > 0, F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step))
-    return goals.withColumn("tilt", tilt).withColumn("rate", F.coalesce(F.exp("tilt"), F.lit(0.0)))
-
-
-def _round(cap: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Copies of each size class of one source (``copies`` is the class's total)."""
-        pdf = pdf.sort_values("size", ascending=False)
-        room, words = float(pdf["target"].iloc[0]), float((pdf["size"] * pdf["n"]).sum())
-        out = []
-        for size, n in zip(pdf["size"], pdf["n"], strict=True):
-            if size == 0:
-                out.append(n)  # costs nothing: kept as it is
-                continue
-            mine = size * n
-            rest = words - mine
-            k = round(n * room / words) if words else 0
-            if rest > 0 and room > cap * rest:
-                k = max(k, -int(-(room - cap * rest) // size))
-            k = int(min(max(k, 0), max(int(room // size), 0) if rest > 0 else cap * n, cap * n))
-            out.append(k)
-            room, words = room - k * size, rest
-        return pdf.assign(copies=out)[["source", "size", "n", "copies"]]
-
-    return fold
+def tilts(goals: DataFrame, classes: DataFrame, cap: int) -> DataFrame:
+    """``goals(source, source_size, target)`` with ``tilt`` and ``mean``; ``classes(source, size, n)`` are their documents.
+
+    Newton's method on the logarithm of a source's words, kept between the last tilts that gave too few and too many. A
+    source at ``cap`` times its words has the least tilt that brings its shortest document there; one without words has none.
+    """
+    some = classes.where("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
+    named = lambda a, b: a.join(b.withColumnRenamed("source", "s"), a["source"].eqNullSafe(F.col("s"))).drop("s")
+    most = F.lit(math.log(cap)) * F.col("mean") / F.col("least")
+    full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
+    state = named(goals, some).select(
+        "source", "target", "mean", F.when(full, most).otherwise(F.log(F.col("target") / F.col("source_size"))).alias("tilt"),
+        F.lit(float("-inf")).alias("low"), most.alias("high"), full.alias("done"),
+    )
+    state = materialise(state, "mix-tilt")
+    for _ in range(NEWTON_STEPS):
+        if state.where("not done").isEmpty():
+            break
+        at = named(classes.where("size > 0"), state.where("not done"))
+        x = F.col("size") / F.col("mean")
+        rate = F.least(F.lit(float(cap)), F.exp(F.col("tilt") * x))
+        words = F.col("size") * F.col("n") * rate
+        sums = at.groupBy("source").agg(F.sum(words).alias("words"), F.sum(F.when(rate < cap, words * x).otherwise(0.0)).alias("slope"))
+        met = state.join(sums.withColumnRenamed("source", "s"), state["source"].eqNullSafe(F.col("s")), "left").drop("s")
+        met = met.withColumn("low", F.when(F.col("words") < F.col("target"), F.col("tilt")).otherwise(F.col("low")))
+        met = met.withColumn("high", F.when(F.col("words") > F.col("target"), F.col("tilt")).otherwise(F.col("high")))
+        step = F.col("tilt") - F.log(F.col("words") / F.col("target")) * F.col("words") / F.col("slope")
+        half = F.when(F.col("low") == float("-inf"), F.col("tilt") * 2 - 1).otherwise((F.col("low") + F.col("high")) / 2)
+        new = F.when((F.col("slope") > 0) & (F.col("words") > 0) & (step > F.col("low")) & (step < F.col("high")), step).otherwise(half)
+        ends = F.coalesce(F.abs(F.col("words") / F.col("target") - 1) < MISS, F.lit(False))
+        stay = F.col("done") | ends
+        state = materialise(
+            met.select("source", "target", "mean", F.when(stay, F.col("tilt")).otherwise(new).alias("tilt"), "low", "high", stay.alias("done")), "mix-tilt"
+        )
+    # sums in another order differ in the last digits: they are cut off, so reruns agree
+    tilted = state.select(F.col("source").alias("s"), F.round("tilt", 9).alias("tilt"), "mean")
+    return materialise(goals.join(tilted, goals["source"].eqNullSafe(F.col("s")), "left").drop("s"), "mix-goals")
+
+
+def document_rate(size: Column, tilt: Column, mean: Column, cap: int) -> Column:
+    """1 for documents without words."""
+    return F.when(size > 0, F.least(F.lit(float(cap)), F.exp(tilt * size / mean))).otherwise(1.0)
+
+
+def round_rates(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
+    """Copies of each size class of one source, ``pdf(source, size, n, target, rate)``: a class's total is near ``n * rate``."""
+    pdf = pdf.sort_values("size", ascending=False)
+    carry = float(pdf["target"].iloc[0]) - float((pdf["size"] * pdf["n"] * pdf["rate"]).sum())
+    out = []
+    for size, n, rate in zip(pdf["size"].tolist(), pdf["n"].tolist(), pdf["rate"].tolist(), strict=True):
+        if size == 0:
+            out.append(n)  # costs nothing: kept as it is
+            continue
+        want = size * n * rate + carry
+        copies = min(max(round(want / size), 0), cap * n)
+        carry = want - copies * size
+        out.append(copies)
+    return pdf.assign(copies=out)[["source", "size", "n", "copies"]]
 
 
 def document_copies(sizes: DataFrame, cap: int = 3) -> DataFrame:
@@ -83,13 +118,14 @@ def document_copies(sizes: DataFrame, cap: int = 3) -> DataFrame:
 
     ``mark`` is a hash that orders documents of one class. Rows that agree in all columns are interchangeable.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = materialise(tilts(targets(by_source, cap)), "mix-goals")
-    classes = sizes.groupBy("source", "size").agg(F.count("*").alias("n"))
-    same = classes["source"].eqNullSafe(goals["source"])
-    rated = classes.join(goals, same).select(classes["source"], "size", "n", "target")
+    classes = materialise(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-sums")
+    by_source = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    goals = tilts(materialise(targets(by_source, cap), "mix-targets"), classes, cap)
+    goals = goals.select("source", "source_size", "target", "tilt", "mean")
+    rate = document_rate(F.col("size"), F.col("tilt"), F.col("mean"), cap)
+    rated = classes.join(goals.withColumnRenamed("source", "s"), classes["source"].eqNullSafe(F.col("s"))).select("source", "size", "n", "target", rate.alias("rate"))
     rounded = materialise(
-        rated.groupBy("source").applyInPandas(_round(cap), "source string, size long, n long, copies long"), "mix-classes"
+        rated.groupBy("source").applyInPandas(lambda pdf: round_rates(pdf, cap), "source string, size long, n long, copies long"), "mix-classes"
     ).withColumn("parts", F.ceil(F.col("n") / RANKED))
     both = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["size"] == b["size"])
     rows = (
@@ -122,7 +158,7 @@ def document_copies(sizes: DataFrame, cap: int = 3) -> DataFrame:
         (F.floor(F.col("copies") / F.col("n")) + (rank <= extra).cast("long")).alias("copies"),
     )
     return chosen.join(goals, chosen["source"].eqNullSafe(goals["source"])).select(
-        chosen["source"], "size", "doc_id", "mark", "source_size", "target", "rate", "copies"
+        chosen["source"], "size", "doc_id", "mark", "source_size", "target", rate.alias("rate"), "copies"
     )
 
 
@@ -155,23 +191,25 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
 def mixed_documents(docs: DataFrame, cap: int = 3) -> DataFrame:
     """The documents themselves, as often as the mix takes them, with all their columns.
 
-    Rows that share doc_id, source and text are drawn as one: the first by its other columns stands for them.
+    Rows that share doc_id, source and text are drawn as one: the first by a hash of all columns stands for them.
     """
     copies = (
         document_copies(document_sizes(docs), cap)
         .groupBy("source", "doc_id", "mark")
-        .agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-        .select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "_copies", "_rows")
+        .agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     )
-    copies = materialise(copies, "mix-copies")
-    keyed = docs.withColumn("_mark", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))))
+    own, doc, of, times, rows, mark, nth = fresh(docs, 7)
+    copies = materialise(copies.toDF(own, doc, of, times, rows), "mix-copies")
+    keyed = docs.withColumn(mark, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))))
     on = (
-        (F.col("_m") == F.col("_mark"))
-        & F.col("_d").eqNullSafe(F.col("doc_id").cast("long"))
-        & F.col("_s").eqNullSafe(F.col("source").cast("string"))
+        (F.col(of) == F.col(mark))
+        & F.col(doc).eqNullSafe(F.col("doc_id").cast("long"))
+        & F.col(own).eqNullSafe(F.col("source").cast("string"))
     )
+    columns = [F.col(quoted(c)) for c in docs.columns]
     found = keyed.join(copies, on)
-    once = found.where("_rows = 1")
-    many = found.where("_rows > 1").dropDuplicates(["doc_id", "source", "_mark"])
-    drawn = once.union(many).where("_copies > 0")
-    return drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).drop("_copy")
+    once = found.where(F.col(rows) == 1)
+    first = W.partitionBy(own, doc, of).orderBy(F.xxhash64(*columns))
+    many = found.where(F.col(rows) > 1).withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
+    drawn = once.union(many).where(F.col(times) > 0)
+    return drawn.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(nth)).drop(nth)

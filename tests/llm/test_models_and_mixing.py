@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -57,12 +58,36 @@ def test_large_classes_are_ranked_in_parts(docs_of, monkeypatch):
     assert sum(x.taken for x in got if x.doc_id >= 200) == round(320 / 3) * 3
 
 
+def test_tilts_solve_the_dual_and_decide_the_copies(docs_of, monkeypatch):
+    r = random.Random(4)
+    docs = [(i, " ".join(["w"] * r.choice([1, 2, 3, 8, 20, 90])), r.choice("aaab")) for i in range(500)]
+    got = mixing.mix(docs_of(docs)).collect()
+    for target in {x.target for x in got}:
+        own = [x for x in got if x.target == target]
+        sizes, mean = np.array([x.size for x in own]), np.mean([x.size for x in own])
+        low, high = -60.0, 60.0 * mean
+        for _ in range(300):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (sizes * np.minimum(3, np.exp(mid * sizes / mean))).sum() < target else (low, mid)
+        assert all(abs(x.rate - min(3, np.exp(low * x.size / mean))) < 1e-6 for x in own)
+        for size in set(sizes):
+            copies = sum(x.copies for x in own if x.size == size)
+            assert abs(copies - sum(x.rate for x in own if x.size == size)) <= 100 / size + 1
+    assert len({round(x.rate, 6) for x in got}) > 6
+    plain = {x.doc_id: x.taken for x in got}
+    monkeypatch.setattr(mixing, "document_rate", lambda size, tilt, mean, cap: F.least(F.lit(3.0), F.exp(tilt / 2)))
+    assert plain != {x.doc_id: x.taken for x in mixing.mix(docs_of(docs)).collect()}
+
+
 def test_mixed_documents_repeat_rows(docs_of):
-    docs = docs_of([(1, "a b c", "a"), (2, "a b", "b"), (2, "a b", "b"), (3, "", "b"), (None, None, None)])
+    rows = [(1, "a b c", "a"), (2, "a b", "b"), (2, "a b", "b"), (3, "", "b"), (None, None, None), (4, "a b c d e f", "a"), (5, "one", "c")]
+    docs = docs_of(rows).withColumnsRenamed({"mark": "_x0", "h": "_x5", "id": "copies"})
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    taken = {(x.doc_id, x.taken) for x in mixing.mix(docs).collect()}
-    assert sum(2 for x in out.collect() if x.doc_id == 2) == sum(t for i, t in taken if i == 2) or out.count() > 0
+    copies = Counter()
+    for x in mixing.mix(docs).collect():
+        copies[x.doc_id] += x.copies
+    assert Counter(x.doc_id for x in out.collect()) == +copies and copies[2] and copies[3] == 1
     assert mixing.mixed_documents(docs_of([])).count() == 0 and mixing.mix(docs_of([])).count() == 0
 
 
