@@ -3,8 +3,10 @@
 A fingerprint is the sum of one wide vector per paragraph, each lane modulo a power of two, so it does not depend on the
 order of paragraphs, and adding or taking away a paragraph adds or takes away its vector. A paragraph's vector has two
 parts. Four lanes modulo 2**32 are hashed from the whole paragraph and decide equality. 120 lanes modulo 2**20, packed
-three to a 64-bit word, add up one hashed bit per piece of the paragraph, where pieces end at punctuation or at a word
-whose last letter is one of a fixed few; an edit therefore disturbs only the pieces that it touches. Lane counts ``c`` of ``n`` pieces
+three to a 64-bit word, add up one hashed bit per piece of the paragraph. Pieces end at blanks after punctuation or after a word
+whose last letter is one of a fixed few; what is longer than ``LONG`` bytes, as text in scripts without blanks or letters
+of these, is cut after ``SHORT`` or more characters, at the first of a class that takes about an eighth of any script. So
+pieces depend on what stands around their ends, and an edit disturbs only the pieces that it touches. Lane counts ``c`` of ``n`` pieces
 give the signed sums ``2c - n`` of random signs, whose normalised inner product estimates the cosine of two multisets of
 pieces: the likeness of two fingerprints.
 """
@@ -15,17 +17,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 EXACT_LANES = 4
 #: Packed words per hash, and hashes per piece: 3 * 20 * 2 = 120 lanes.
 WORDS, HASHES = 20, 2
-LANE_BITS = 20
+LANE_BITS, STRIDE = 20, 21
 _LANE = (1 << LANE_BITS) - 1
-_ONES = 1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS
+_ONES = 1 | 1 << STRIDE | 1 << 2 * STRIDE
+#: The lanes of a word, and the bits above each that take a carry or lend one.
+_LANES, _GUARDS = _LANE * _ONES, _ONES << LANE_BITS
 PARAGRAPH = r"\n"
 PIECE_END = r"(?<=[,.;:!?dgsy])[ \t\r]+|\n"
-#: Documents of one run of the order by id, and the most runs.
-RUN_ROWS, MOST_RUNS = 2_000, 4_096
-_CHUNK = 32
+LONG = 64
+#: Documents of one run of the order by id, and the most runs: a bound on the table of their limits.
+RUN_ROWS, MOST_RUNS = 2_000, 1 << 16
+
+
+def _eighth() -> str:
+    """A class of about an eighth of all characters: two of 16 code points up to U+2E80, 64 of 512 above."""
+    code = lambda c: f"\\x{{{c:x}}}"
+    low = "".join(code(c) for c in range(0x21, 0x100) if c % 16 in (2, 3))
+    groups = []
+    for start, end, step, size in [(a, a + 0x200, 16, 2) for a in range(0x100, 0x2E00, 0x200)] + [(0x2E00, 0x10000, 512, 64), (0x10000, 0x20000, 4096, 512)]:
+        runs = "".join(f"{code(c)}-{code(c + size - 1)}" for c in range(start, end, step))
+        groups.append(f"[{code(start)}-{code(end - 1)}&&[{runs}]]")
+    return f"[{low}{''.join(groups)}]"
+
+
+#: A run of at least ``SHORT`` characters up to one of the class, or what is left.
+SHORT = 6
+DENSE = f"(?s).{{{SHORT},}}?(?<={_eighth()})|.+"
 
 
 def exact_lanes(text: Column) -> Column:
@@ -44,15 +66,17 @@ def exact_lanes(text: Column) -> Column:
 
 def piece_sums(text: Column) -> Column:
     """``array<bigint>``: the number of pieces, then the packed lane counts."""
+    finer = lambda p: F.when(F.octet_length(p) > LONG, F.regexp_extract_all(p, F.lit(DENSE), F.lit(0))).otherwise(F.array(p))
     pieces = F.split(text, PIECE_END)
-    ones = F.lit(_ONES).cast("long")
+    pieces = F.when(F.exists(pieces, lambda p: F.octet_length(p) > LONG), F.flatten(F.transform(pieces, finer))).otherwise(pieces)
+    ones, lanes = F.lit(_ONES).cast("long"), F.lit(_LANES).cast("long")
     names = ["n", *(f"s{h}_{j}" for h in range(HASHES) for j in range(WORDS))]
     zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in names])
     hashes = F.transform(pieces, lambda p: F.struct(F.xxhash64(p).alias("h0"), F.xxhash64(p, F.lit(1)).alias("h1")))
 
     def add(acc: Column, x: Column) -> Column:
         bits = [
-            (acc[f"s{h}_{j}"] + F.shiftrightunsigned(x[f"h{h}"], j).bitwiseAND(ones)).alias(f"s{h}_{j}")
+            (acc[f"s{h}_{j}"] + F.shiftrightunsigned(x[f"h{h}"], j).bitwiseAND(ones)).bitwiseAND(lanes).alias(f"s{h}_{j}")
             for h in range(HASHES)
             for j in range(WORDS)
         ]
@@ -68,15 +92,17 @@ def fingerprint(text: Column) -> Column:
 
 def as_string(fp: Column) -> Column:
     exact = F.transform(fp["exact"], lambda x: F.lpad(F.lower(F.hex(x)), 8, "0"))
-    sums = F.transform(F.slice(fp["sums"], 2, HASHES * WORDS), lambda x: F.lpad(F.lower(F.hex(x)), 15, "0"))
+    sums = F.transform(F.slice(fp["sums"], 2, HASHES * WORDS), lambda x: F.lpad(F.lower(F.hex(x)), 16, "0"))
     return F.concat(F.array_join(exact, ""), F.lit("-"), F.array_join(sums, ""))
 
 
 def _signed(sums: Column) -> Column:
-    n = F.element_at(sums, 1).cast("double")
-    lane = lambda x, i: 2.0 * F.shiftright(x, i * LANE_BITS).bitwiseAND(F.lit(_LANE).cast("long")) - n
+    """The lanes' sums of signs. A lane has a count modulo ``2 ** LANE_BITS``: the one nearest to half of all pieces is meant."""
+    n, wrap = F.element_at(sums, 1).cast("double"), float(1 << LANE_BITS)
+    count = lambda x, i: F.shiftrightunsigned(x, i * STRIDE).bitwiseAND(F.lit(_LANE).cast("long")).cast("double")
+    lane = lambda c: 2.0 * (c + wrap * F.floor((n / 2 - c) / wrap + 0.5)) - n
     return F.flatten(
-        F.transform(F.slice(sums, 2, HASHES * WORDS), lambda x: F.array(*[lane(x, i) for i in range(3)]))
+        F.transform(F.slice(sums, 2, HASHES * WORDS), lambda x: F.array(*[lane(count(x, i)) for i in range(3)]))
     )
 
 
@@ -95,9 +121,13 @@ def likeness(a: Column, b: Column) -> Column:
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint after the paragraphs of ``b`` are inserted (1) or deleted (-1)."""
     low = F.lit((1 << 32) - 1).cast("long")
+    lanes, guards = F.lit(_LANES).cast("long"), F.lit(_GUARDS).cast("long")
+    packed = lambda x, y: (x + y if sign > 0 else x.bitwiseOR(guards) - y).bitwiseAND(lanes)
+    words = lambda v: F.slice(v["sums"], 2, HASHES * WORDS)
+    n = F.element_at(a["sums"], 1) + sign * F.element_at(b["sums"], 1)
     return F.struct(
         F.zip_with(a["exact"], b["exact"], lambda x, y: (x + sign * y).bitwiseAND(low)).alias("exact"),
-        F.zip_with(a["sums"], b["sums"], lambda x, y: x + sign * y).alias("sums"),
+        F.concat(F.array(n), F.zip_with(words(a), words(b), packed)).alias("sums"),
     )
 
 
@@ -106,49 +136,37 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.withColumn("fp", fingerprint(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def _bounds(ids: DataFrame, runs: int) -> list[int]:
-    """Inner bounds of ``runs`` runs of about equally many ids: so many numbers reach the driver, whatever the input."""
-    if runs < 2:
-        return []
-    found = ids.agg(F.percentile_approx("_key", [i / runs for i in range(1, runs)], 50 * runs)).first()[0] or []
-    return sorted(set(found))
-
-
-def _below(bounds: list[int], key: Column) -> Column:
-    """How many of the sorted bounds are below the key: whole chunks first, then one chunk."""
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]).cast("array<bigint>")
-    chunks = F.size(F.filter(longs(bounds[_CHUNK - 1 :: _CHUNK]), lambda b: b < key))
-    within = F.slice(longs(bounds), chunks * _CHUNK + 1, F.lit(_CHUNK))
-    return chunks * _CHUNK + F.size(F.filter(within, lambda b: b < key))
-
-
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``next_<c>`` of the next document in descending ``doc_id`` order; after the last comes the first.
 
     ``columns`` include ``doc_id`` and ``text``. The order is cut into runs of about ``RUN_ROWS`` ids; the first row of
     each run is also put behind the run before it, so no row but these is moved twice. Null ids come last; rows of one
-    id are ordered by a hash of their text.
+    id are ordered by a hash of their text, and an id that fills several runs is cut by that hash.
     """
+    rows = docs.select("doc_id").count()
+    if not rows:
+        return docs.select(*columns, *[F.col(c).alias(f"next_{c}") for c in columns])
     keyed = docs.select(*columns).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
-    rows = docs.select(F.col("doc_id")).count()
-    bounds = _bounds(keyed.select("_key"), min(MOST_RUNS, -(-rows // RUN_ROWS)))
-    run = len(bounds) - _below(bounds, F.col("_key"))  # run 0 holds the largest ids
-    order = [F.col("_key").desc(), F.xxhash64("text"), F.col("text")]
-    placed = keyed.withColumn("_run", run)
-    tops = placed.groupBy("_run").agg(F.max("_key").alias("_key")).collect()  # a row per run
-    runs = sorted((r["_run"], r["_key"]) for r in tops)
-    follows = {after[0]: before[0] for before, after in zip(runs, runs[1:] + runs[:1], strict=True)} if runs else {}
-    if not runs:
-        return placed.select(*columns, *[F.col(c).alias(f"next_{c}") for c in columns])
-    to = F.create_map(*[F.lit(x) for pair in follows.items() for x in pair])
-    heads = placed.where(F.col("_key").isin([k for _, k in runs]))
-    heads = (
-        heads.withColumn("_place", F.row_number().over(W.partitionBy("_run").orderBy(*order)))
-        .where("_place = 1")
-        .withColumn("_run", to[F.col("_run")])
-        .drop("_place")
-        .withColumn("_ghost", F.lit(1))
-    )
+    keyed = keyed.withColumn("_hash", F.xxhash64("text"))
+    runs = max(2, min(MOST_RUNS, -(-rows // RUN_ROWS)))
+    limits = keyed.select(F.percentile_approx("_key", [i / runs for i in range(1, runs)], 50 * runs).alias("_limits"))
+    limits = materialise(limits, "runs")  # one row of at most MOST_RUNS numbers
+    # how many limits are below the key, and how many equal it: an id that fills several runs
+    halves = F.array(*[F.lit(1 << k) for k in range(16, -1, -1)])
+    at = lambda test: F.aggregate(halves, F.lit(0), lambda p, k: F.when(test(F.get("_limits", p + k - 1)), p + k).otherwise(p))
+    placed = keyed.join(F.broadcast(limits)).withColumns({"_below": at(lambda x: x < F.col("_key")), "_upto": at(lambda x: x <= F.col("_key"))})
+    part = 1.0 - (F.col("_hash").cast("double") + 2.0**63) / 2.0**64
+    same = F.col("_upto") - F.col("_below")
+    within = F.when(same > 1, F.least(F.floor(part * same), same - 1)).otherwise(0).cast("int")
+    placed = placed.withColumn("_run", F.lit(runs) - F.col("_below") - within).drop("_limits", "_below", "_upto")
+    order = [F.col("_key").desc(), F.col("_hash"), F.col("text")]
+    first = F.min(F.struct((-1 - F.col("_key")).alias("down"), F.col("_hash").alias("hash"))).alias("first")  # -1 - x turns the order around
+    tops = materialise(placed.groupBy("_run").agg(first), "tops")  # a row per run
+    before = F.coalesce(F.lag("_run").over(W.orderBy("_run")), F.max("_run").over(W.partitionBy()))
+    tops = tops.select("_run", before.alias("_to"), (-1 - F.col("first.down")).alias("_key"), F.col("first.hash").alias("_hash"))
+    heads = placed.join(F.broadcast(tops), ["_run", "_key", "_hash"])
+    heads = heads.withColumn("_place", F.row_number().over(W.partitionBy("_to").orderBy("text"))).where("_place = 1")
+    heads = heads.select(*columns, "_key", "_hash", F.col("_to").alias("_run"), F.lit(1).alias("_ghost"))
     both = placed.withColumn("_ghost", F.lit(0)).unionByName(heads)
     w = W.partitionBy("_run").orderBy("_ghost", *order)
     nexts = [F.lead(c).over(w).alias(f"next_{c}") for c in columns]
@@ -160,7 +178,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     The edited text's last ``floor(n_chars / 3)`` code points are the next document's first as many, or all it has.
     Null and empty texts have one empty paragraph; a lone document is its own next; repeated rows follow each other.
-    Beyond a million pieces in one text lanes run over and the likeness loses exactness, not the equality.
+    Lanes wrap around in very long texts, which changes neither equality nor, but for texts that say the same over a
+    million times, the likeness.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = with_next(fingerprint_documents(base), ["doc_id", "text", "fp"])

@@ -189,7 +189,6 @@ def test_next_document_over_many_runs(docs_of, monkeypatch):
     import hashlib
 
     monkeypatch.setattr(multiset, "RUN_ROWS", 3)
-    monkeypatch.setattr(multiset, "_CHUNK", 4)
     r = random.Random(2)
     docs = [(i, " ".join(r.choice(["sun", "moon", "tide", "sand,", "wind."]) for _ in range(r.randrange(0, 60)))) for i in r.sample(range(1000), 80)]
     docs += [(2000, None), (2001, "")]
@@ -214,6 +213,45 @@ def test_likeness_follows_the_edit(docs_of):
     assert all(x.near_edited > 0.45 and x.near_next < 0.35 for x in rows)
 
 
+def test_pieces_of_any_script(docs_of):
+    r = random.Random(4)
+    kinds = [range(0x4E00, 0x9FFF), range(0xAC00, 0xD7A3), range(0x430, 0x44F), range(0xE01, 0xE2E), range(0x20000, 0x2A6D0), range(0x61, 0x7A)]
+    docs = [(10 * k + i, "".join(chr(r.choice(kind)) for _ in range(3000))) for k, kind in enumerate(kinds) for i in range(6)]
+    rows = multiset.edited_likeness(docs_of(docs)).collect()
+    likely = [x.near_edited for x in rows]
+    assert min(likely) > 0.35 and 0.5 < sum(likely) / len(likely) < 0.8 and max(x.near_next for x in rows) < 0.4, (likely, [x.near_next for x in rows])
+
+
+def test_lanes_wrap_within_themselves(spark):
+    """Against plain sums of big integers, past the width of a lane."""
+    df = spark.range(1).select(F.expr("concat_ws('\n', transform(sequence(1, 1300), i -> concat('line ', i % 7)))").alias("t"))
+    fp = df.select(multiset.fingerprint(F.col("t")).alias("fp")).select("fp", multiset.combine(F.col("fp"), F.col("fp")).alias("twice"))
+    for _ in range(10):
+        fp = spark.createDataFrame(fp.collect(), fp.schema).select("fp", multiset.combine(F.col("twice"), F.col("twice")).alias("twice"))
+    got = fp.select("*", multiset.combine(F.col("twice"), F.col("fp"), -1).alias("less")).first()
+    lanes = lambda w: [w >> 21 * i & (1 << 21) - 1 for i in range(3)]
+    one = [x for w in got.fp.sums[1:] for x in lanes(w)]
+    assert [x for w in got.twice.sums[1:] for x in lanes(w)] == [(x << 11) % (1 << 20) for x in one] and max(one) << 11 > 1 << 20
+    assert [x for w in got.less.sums[1:] for x in lanes(w)] == [((x << 11) - x) % (1 << 20) for x in one]
+    assert (got.twice.sums[0], got.less.sums[0]) == (1300 << 11, (1300 << 11) - 1300)
+    assert [e % (1 << 32) for e in got.twice.exact] == [(e << 11) % (1 << 32) for e in got.fp.exact]
+
+
+def test_next_of_repeated_ids(docs_of, monkeypatch):
+    monkeypatch.setattr(multiset, "RUN_ROWS", 4)
+    docs = [(None, f"null {i}") for i in range(40)] + [(7, f"seven {i}") for i in range(30)] + [(i, f"own {i}") for i in range(20)]
+    got = multiset.with_next(docs_of(docs).select("doc_id", "text"), ["doc_id", "text"]).collect()
+    after = {x.text: x.next_text for x in got}
+    assert len(after) == len(docs) == len(set(after.values()))
+    walk, at = [], "own 19"
+    for _ in docs:
+        walk.append(at)
+        at = after[at]
+    ids = dict((t, i) for i, t in docs)
+    order = [ids[t] for t in walk]
+    assert at == "own 19" and order[-40:] == [None] * 40 and order[:-40] == sorted(order[:-40], reverse=True)
+
+
 def test_lone_and_empty_tables(docs_of):
     one = multiset.edited_likeness(docs_of([(1, "abcdef")])).first()
     assert one.near_next == 1.0 and multiset.edited_likeness(docs_of([])).count() == 0
@@ -226,12 +264,15 @@ def _prose(seed, n, size=60):
     return ["".join(r.choice("abcdefghijklmnop ") for _ in range(size)).strip().replace("  ", " x") for _ in range(n)]
 
 
-def test_lines_of_documents_that_go_are_led_by_those_that_stay(docs_of):
+def test_every_line_stays_once(docs_of):
     ten, (shared,), own, fresh = _prose(1, 10), _prose(2, 1), _prose(3, 4), _prose(4, 4)
-    scraps = [(i, "\n".join([*ten[:9], x])) for i, x in zip((3, 4, 5, 6), fresh, strict=True)]  # each goes, and leads one line of 7
+    scraps = [(i, "\n".join([*ten[:9], x])) for i, x in zip((3, 4, 5, 6), fresh, strict=True)]
     docs = [(0, "\n".join(ten)), (1, "\n".join([*ten[:9], shared])), (2, "\n".join([shared, *own])), *scraps, (7, "\n".join(fresh)), (8, "\n".join(fresh))]
-    out = {r.doc_id: r.text for r in lines.without_repeated_lines(docs_of(docs)).collect()}
-    assert out == {0: "\n".join(ten), 2: "\n".join([shared, *own]), 7: "\n".join(fresh)}
+    clash = docs_of(docs).withColumnsRenamed({"mark": "_x0", "h": "_x3", "id": "lines"})
+    found = lines.without_repeated_lines(clash)
+    assert found.columns == clash.columns
+    out = {r.doc_id: r.text for r in found.collect()}
+    assert out == {0: "\n".join(ten), 1: shared, 2: "\n".join(own)} | dict(zip((3, 4, 5, 6), fresh, strict=True))
 
 
 def test_repeats_within_a_document_do_not_count_as_copies(docs_of):
