@@ -1,14 +1,21 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is scanned into text blocks, each with the path of elements around it. A small fixed logistic classifier gives
-every block the log odds of being content; they become capacities to the two terminals. Blocks that follow each other, and
-blocks that are next of kin in the element tree, are joined by smoothness edges. The minimum cut labels all blocks at
-once. Blocks whose terminal capacity exceeds all their edges keep their label in every minimum cut and are settled first;
-maximum flow runs on what is left, which is short even for very long pages.
+A page is scanned into text blocks and the elements around them. A logistic classifier looks at a block's own text: its
+length, links, sentence ends and tag give log odds of being content, which become capacities to the two terminals. What
+the page says about its parts becomes nodes of the same graph: an element that is a menu, footer, form, article or the like, by
+its tag or by its class or id, is a node with a capacity of its own. Smoothness edges join each block to the nearest such
+element around it, an element to the next one outwards, and blocks that follow each other, the more the closer they are in
+the element tree. The minimum cut labels all nodes at once: a short line of an article stays with it although it looks
+like nothing by itself, and a long text in a sidebar goes. Names that often mean something else, as "search" or "header",
+have little capacity, so that the text inside can outvote them.
+
+Nodes whose terminal capacity exceeds all their edges keep their label in every minimum cut and are settled first;
+maximum flow runs on what is left, which is short even for very long pages. The scan is linear, however badly tags nest.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -20,83 +27,150 @@ from pyspark.sql import functions as F
 
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math head".split())
+RAW = frozenset("script style template textarea title iframe select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var br wbr img".split()
+    "strong sub sup time tt u var br wbr img math mi mn mo mtext mrow msup msub msubsup mfrac msqrt mroot mstyle semantics "
+    "svg g text tspan".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
     "section table ul".split()
 )
-BOILERPLATE = frozenset("nav footer aside form button select menu dialog fieldset option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-TEXTUAL = frozenset("p blockquote pre figcaption dd dt td".split())
+TEXTUAL = frozenset("p blockquote pre figcaption dd dt td th li summary caption".split())
+BARRIERS = frozenset("article body main nav footer aside table".split())
+BOILERPLATE = frozenset("nav footer aside form button menu dialog fieldset option".split())
 #: Words of class, id and role names that mark what is not the article.
 AWAY = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies copyright disqus footer form header login masthead menu menubar modal nav navbar navigation newsletter notice "
-    "notices pagination popup promo promoted promotion recommend recommended related replies reply respond share sharing "
-    "sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets contentinfo "
-    "complementary search alert gdpr toc".split()
+    "cookies copyright discussion disqus feedback footer masthead menu menubar modal nav navbar navigation newsletter "
+    "pagination popup promo promoted promotion recommend recommended related replies reply respond responses share sharing "
+    "sidebar signup sponsor sponsored subscribe subscription toolbar widget widgets contentinfo complementary gdpr".split()
 )
+#: Words that mark it in some names and mean something else in others.
+PERHAPS = frozenset("alert form header login notice notices search skip social tags toc tools".split())
 TOWARDS = frozenset("article content entry main post story body text".split())
+#: Words that turn a name into one of a layout around the article.
+LAYOUT = frozenset("has with without no layout wrapper wrap container page".split())
 
-# The classifier's weights: log odds of content.
-W_BASE, W_ARTICLE, W_MAIN_NAME, W_TEXTUAL, W_HEADING = -0.6, 4.0, 1.5, 1.5, 0.8
-W_AWAY, W_HEADER, W_LINKS, W_LIST, W_LENGTH = -9.0, -6.0, -4.0, -0.4, 0.6
-#: Smoothness: neighbours in the page, and next blocks under one parent.
-NEXT, KIN = 0.5, 0.5
+# Capacities of elements: settled ones, and those that their text can outvote.
+SURE, SOFT, LIKELY = 1e9, 2.0, 3.0
+# The classifier's weights.
+W_BASE, W_LENGTH, W_LINKS, W_SENTENCE, W_MARK = 0.1, 1.0, -3.5, 0.5, -2.0
+W_TAG = dict.fromkeys(("p", "blockquote", "pre"), 0.5) | dict.fromkeys(HEADINGS, 0.3) | {"li": -0.4}
+#: Smoothness: a block and the element around it (menus and the like, articles, others), an element and the next outwards,
+#: blocks that follow each other (under one parent, in one element, else).
+OUT, IN, PART, NEST = 6.0, 4.5, 3.0, 1.0
+KIN, NEXT, FAR = 1.0, 0.6, 0.1
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_SIMPLE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*+)>")
+_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
+
+
+def named(tag: str, attributes: str) -> float:
+    """What an element's names say, as a capacity: negative for what is not the article, 0 if nothing or both.
+
+    A name is read word by word. An id counts if all of it is known words, since ids also name what a text is about; names
+    of paragraphs and headings do not count, but for comments and adverts by class.
+    """
+    worst, best = 0.0, 0.0
+    for m in _NAMES.finditer(attributes):
+        kind = m[1].lower()
+        for name in (m[2] or m[3] or m[4] or "").split():
+            words = [p.lower() for p in _PARTS.findall(name)]
+            known = set(words)
+            if known & LAYOUT and known & (AWAY | PERHAPS):
+                continue
+            if kind == "id" and not known <= AWAY | PERHAPS | TOWARDS:
+                continue
+            away, perhaps, towards = known & AWAY, known & PERHAPS, known & TOWARDS
+            if tag in HEADINGS or tag in TEXTUAL:
+                away = away if kind == "class" and len(words) == 1 else set()
+                perhaps = towards = set()
+            if away and (not towards or words[-1] in AWAY or words[0] in AWAY):
+                worst = -SURE
+            elif perhaps and not towards:
+                worst = min(worst, -SOFT)
+            elif towards:
+                best = LIKELY
+    return worst or best
 
 
 class _Element:
-    __slots__ = ("tag", "away", "inside", "key", "parent")
+    """``node`` is the nearest element around, or this one, that is a node of the graph."""
+
+    __slots__ = ("tag", "node", "outside", "article")
 
-    def __init__(self, tag: str, attributes: str, parent: _Element | None, key: int):
-        self.tag, self.parent, self.key = tag, parent, key
-        away, inside = (parent.away, parent.inside) if parent else (0.0, 0.0)
+    def __init__(self, tag: str, attributes: str, parent: _Element | None, nodes: list[tuple[float, int]]):
+        self.tag = tag
+        self.node, self.outside, self.article = (parent.node, parent.outside, parent.article) if parent else (-1, False, False)
+        says = named(tag, attributes) if "=" in attributes and tag not in ("html", "body", "main") else 0.0
         if tag in BOILERPLATE:
-            away = min(away, W_AWAY)
-        elif tag == "header" and inside < W_ARTICLE:
-            away = min(away, W_HEADER)
-        if tag in ("article", "main"):
-            inside = W_ARTICLE
-        if "=" in attributes:
-            names = {p.lower() for m in _NAMES.findall(attributes) for x in m for p in _PARTS.findall(x)}
-            if names & AWAY and tag not in ("html", "body", "article", "main"):
-                away = min(away, W_AWAY)
-            elif names & TOWARDS:
-                inside = max(inside, W_MAIN_NAME)
-        self.away, self.inside = away, inside
-
-
-def blocks(html: str) -> list[tuple[str, int, _Element]]:
-    """Text blocks in page order: white space made single, the characters of it that are links, the element around."""
-    root = _Element("", "", None, 0)
-    stack, keys = [root], 0
-    out: list[tuple[str, int, _Element]] = []
+            says = -SURE
+        elif tag == "header" and not self.article:
+            says = says or -2 * SOFT
+        elif tag == "noscript":
+            says = says or -SOFT
+        elif tag in ("article", "main") and says >= 0 and not self.outside:
+            says, self.article = SURE, True
+        elif self.article and -SURE < says < 0 and "header" in attributes.lower():
+            says = 0.0  # an article's own header
+        if says:
+            nodes.append((says, self.node))
+            self.node = len(nodes) - 1
+            self.outside = self.outside or says == -SURE
+
+
+def blocks(html: str) -> tuple[list[tuple[str, int, _Element, int]], list[tuple[float, int]]]:
+    """Text blocks in page order: white space made single, the characters of it that are links, the element around and its
+    number; then the elements that are nodes, each with its capacity and the next one outwards."""
+    nodes: list[tuple[float, int]] = []
+    stack = [_Element("", "", None, nodes)]
+    solid, numbers, opened, barriers = [0], [0], {}, []  # places on the stack: not inline; by tag; of barriers
+    out: list[tuple[str, int, _Element, int]] = []
     parts: list[str] = []
     linked: list[str] = []
+    keys = 0
 
     def close() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                at = next(e for e in reversed(stack) if e.tag not in INLINE)
-                out.append((text, len(" ".join(unescape("".join(linked)).split())), at))
+                out.append((text, len(" ".join(unescape("".join(linked)).split())), stack[solid[-1]], numbers[-1]))
             parts.clear()
             linked.clear()
 
     def say(text: str) -> None:
         parts.append(text)
-        if any(e.tag == "a" for e in stack[-6:]):
+        if opened.get("a"):
             linked.append(text)
 
-    at, n = 0, len(html)
+    def push(tag: str, attributes: str) -> None:
+        nonlocal keys
+        keys += 1
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in BARRIERS:
+            barriers.append(len(stack))
+        if tag not in INLINE:
+            solid.append(len(stack))
+            numbers.append(keys)
+        stack.append(_Element(tag, attributes, stack[-1], nodes))
+
+    def drop(to: int) -> None:
+        while len(stack) > to:
+            tag = stack.pop().tag
+            opened[tag].pop()
+            if barriers and barriers[-1] == len(stack):
+                barriers.pop()
+            if solid[-1] == len(stack):
+                solid.pop()
+                numbers.pop()
+
+    at, n, read = 0, len(html), _TAG
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
@@ -113,10 +187,13 @@ def blocks(html: str) -> list[tuple[str, int, _Element]]:
             end = html.find(">", lt)
             at = end + 1 if end >= 0 else n
             continue
-        m = _TAG.match(html, lt)
+        m = read.match(html, lt) if follows.isalpha() or follows == "/" else None
+        if not m and read is _TAG and follows.isalpha():
+            read = _SIMPLE  # a quote never closes: from here on they are not heeded
+            m = read.match(html, lt)
         if not m:
             if follows.isalpha() or follows == "/":
-                end = html.find(">", lt)  # quotes that never close: up to the next >, or a page cut inside a tag
+                end = html.find(">", lt)
                 at = end + 1 if end >= 0 else n
             else:
                 say("<")
@@ -126,16 +203,13 @@ def blocks(html: str) -> list[tuple[str, int, _Element]]:
         if m[1]:
             if tag not in INLINE:
                 close()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "body", "main", "nav", "footer", "aside", "table") and tag in INLINE:
-                    break
+            if places := opened.get(tag):
+                if tag not in INLINE or not barriers or barriers[-1] < places[-1]:
+                    drop(places[-1])
             continue
-        if tag in RAW and not (tag == "head"):
+        if tag in RAW:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(html, at)
+                end = _RAW_END[tag].search(html, at)
                 gt = html.find(">", end.end()) if end else -1
                 at = gt + 1 if gt >= 0 else n
             continue
@@ -148,46 +222,41 @@ def blocks(html: str) -> list[tuple[str, int, _Element]]:
             continue
         if tag not in INLINE:
             close()
-            if tag in CLOSES_P or tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                kinds = ("p",) if tag in CLOSES_P else (tag, "p")
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in kinds:
-                        del stack[i:]
-                        break
-                    if stack[i].tag not in INLINE:
-                        break
+            kinds = ("p",) if tag in CLOSES_P else (tag, "p") if tag in ("li", "dd", "dt", "tr", "td", "th", "option") else ()
+            if stack[solid[-1]].tag in kinds:
+                drop(solid[-1])
         if m[3].endswith("/") and tag in INLINE:
             continue
-        keys += 1
-        stack.append(_Element(tag, m[3], stack[-1], keys))
+        push(tag, m[3])
     close()
-    return out
+    return out, nodes
 
 
-def log_odds(text: str, links: int, at: _Element) -> float:
-    odds = W_BASE + at.away + (at.inside if not at.away else 0.0)
-    if at.tag in HEADINGS:
-        odds += W_HEADING
-    elif at.tag in TEXTUAL:
-        odds += W_TEXTUAL
-    elif at.tag == "li":
-        odds += W_LIST
+def log_odds(text: str, links: int, tag: str) -> float:
+    """What a block's own text says."""
     size = len(text)
-    return odds + W_LINKS * links / size + W_LENGTH * min(3.0, size / 60 - 1 if size < 60 else (size - 60) / 120)
+    odds = W_BASE + W_TAG.get(tag, 0.0) + W_LENGTH * max(-0.5, min(2.0, math.log(size / 60))) + W_LINKS * links / size
+    if text[-1] in ".!?\u2026\u3002:;\"\u201d":
+        odds += W_SENTENCE
+    return odds + (W_MARK if "\u00a9" in text else 0.0)
 
 
-def _edges(found: list[tuple[str, int, _Element]]) -> list[dict[int, float]]:
-    near: list[dict[int, float]] = [{} for _ in found]
-    last: dict[int, int] = {}
-    for i, (_, _, e) in enumerate(found):
+def graph(found: list[tuple[str, int, _Element, int]], nodes: list[tuple[float, int]]) -> tuple[list[float], list[dict[int, float]]]:
+    """Log odds and edges of the blocks, then of the elements."""
+    n = len(found)
+    odds = [log_odds(text, links, e.tag) for text, links, e, _ in found] + [c for c, _ in nodes]
+    near: list[dict[int, float]] = [{} for _ in odds]
+    for i, (_, _, e, key) in enumerate(found):
+        if e.node >= 0:
+            c = nodes[e.node][0]
+            near[i][n + e.node] = near[n + e.node][i] = OUT if c <= -SURE else IN if c >= SURE else PART
         if i:
-            near[i][i - 1] = near[i - 1][i] = NEXT
-        kin = e.parent.key if e.parent else 0
-        j = last.get(kin)
-        if j is not None:
-            near[i][j] = near[j][i] = near[i].get(j, 0.0) + KIN
-        last[kin] = i
-    return near
+            _, _, before, other = found[i - 1]
+            near[i][i - 1] = near[i - 1][i] = FAR if e.node != before.node else KIN if key == other or e.tag == before.tag else NEXT
+    for j, (_, outer) in enumerate(nodes):
+        if outer >= 0:
+            near[n + j][n + outer] = near[n + outer][n + j] = NEST
+    return odds, near
 
 
 def _flow(nodes: list[int], odds: list[float], near: list[dict[int, float]]) -> set[int]:
@@ -265,9 +334,9 @@ def minimum_cut(odds: list[float], near: list[dict[int, float]]) -> list[bool]:
 
 def main_text(html: str | None) -> str:
     """Content blocks in page order, joined by one line break."""
-    found = blocks(html or "")
-    keep = minimum_cut([log_odds(*b) for b in found], _edges(found))
-    return "\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
+    found, nodes = blocks(html or "")
+    keep = minimum_cut(*graph(found, nodes))
+    return "\n".join(b[0] for b, k in zip(found, keep, strict=False) if k)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -167,6 +168,36 @@ def test_main_text_of_broken_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_names_alone_do_not_decide():
+    long_ = "This paragraph is about it, and long enough to say that it is."
+    for html, want in (
+        ('<article><header class="entry-header"><h1>Title of it</h1></header><p>Text.</p></article>', ["Title of it", "Text."]),
+        ('<article><h2 id="form-of-government">Form of government</h2><p id="search-engines">Short.</p></article>', ["Form of government", "Short."]),
+        (f'<article><p>Body text.</p></article><div class="reader-feedback"><p>{long_}</p><p>{long_}</p></div>', ["Body text."]),
+        ("<article><p>With <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p></article>", ["With x=2 here."]),
+        (f'<div class="page-with-sidebar"><div class="sidebar"><p>{long_}</p></div><div class="content"><p>A.</p><p>{long_}</p></div></div>', ["A.", long_]),
+        (f'<main><div id="search"><p>{long_}</p><p>{long_}</p></div></main>', [long_, long_]),
+        ("<article><p>" + "<b>" * 9 + '<a href="x">a b</a> c</p></article>', ["a b c"]),
+    ):
+        assert html_text.main_text(html).split("\n") == want
+
+
+def test_the_cut_changes_labels():
+    found, nodes = html_text.blocks(PAGE + "<article><p>Short</p><div>x</div><p>" + "Words of a text. " * 20 + "</p></article>")
+    odds, near = html_text.graph(found, nodes)
+    keep = html_text.minimum_cut(odds, near)
+    changed = [b[0] for b, o, k in zip(found, odds, keep) if (o > 0) != k]
+    assert "x" in changed and "A reader says that this is a long comment about it." in changed
+
+
+def test_malformed_pages_take_linear_time():
+    n = 40_000
+    for html in ("<b>" * n + "x" + "</i>" * n, "<b>" * n + "<p>t" * n, '<a "' * n, "<div>" * n + "t" + "</div>" * n, "<ul>" + "<li>words" * n):
+        began = time.process_time()
+        html_text.main_text(html)
+        assert time.process_time() - began < 5
+
+
 def test_minimum_cut_matches_all_labellings():
     r = random.Random(8)
     for _ in range(60):
@@ -190,7 +221,7 @@ def test_neighbours_against_brute_force(spark):
     rows += [(700, None), (720, [0.0] * 16), (740, [float("nan")] + [1.0] * 15), (760, [None] + [1.0] * 15), (780, [1.0] * 3), (None, [1.0] * 16)]
     df = spark.createDataFrame([(a, b, "e", 1) for a, b in rows], "vec_id long, embedding array<float>, v string, id int")
     got = {}
-    for z in neighbours.search(df.select("vec_id", "embedding"), F.pmod("id", F.lit(20)) == 0).collect():
+    for z in neighbours.search(df, F.pmod("id", F.lit(20)) == 0).collect():
         got.setdefault(z.query_id, []).append((z.rank, z.vec_id, z.score))
     v = np.array([b for a, b in rows[:600]])
     hit = total = 0
@@ -205,6 +236,45 @@ def test_neighbours_against_brute_force(spark):
     assert set(got) == set(range(0, 600, 20)) and hit / total >= 0.9
 
 
+def test_neighbours_with_lists_left_unprobed(spark, monkeypatch):
+    r = np.random.RandomState(5)
+    x = np.float32(r.normal(size=(2000, 24)) + 3 * r.normal(size=(30, 24))[r.randint(0, 30, 2000)]).astype(float)
+    made = []
+    begin = neighbours.Index.__init__
+
+    def init(self, *a, **k):
+        begin(self, *a, **k)
+        made.append(self)
+
+    monkeypatch.setattr(neighbours.Index, "__init__", init)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asks = F.pmod("id", F.lit(20)) == 0
+
+    def recall(rows):
+        got, hit = {}, 0
+        for z in rows:
+            got.setdefault(z.query_id, set()).add(z.vec_id)
+        for q in range(0, 2000, 20):
+            s = x @ x[q]
+            s[q] = -np.inf
+            assert len(got[q]) == 20
+            hit += len(got[q] & set(np.argsort(-s, kind="stable")[:20].tolist()))
+        return hit / 2000
+
+    assert recall(neighbours.search(df, asks).collect()) >= 0.9
+    assert made[0].probes < len(made[0].centroids) == 45
+    monkeypatch.setattr(neighbours.Index, "probed", lambda self, q, every=False: np.argsort(-(q @ self.centroids.T), axis=1)[:, : 45 if every else 1])
+    monkeypatch.setattr(neighbours.Index, "floor", lambda self, q: np.full(len(q), 1e9 if self is made[1] else -np.inf))
+    assert recall(neighbours.search(df, asks).collect()) == 1.0  # nothing reaches that floor, so all queries scan all lists
+
+
+def test_neighbours_of_repeated_ids(spark):
+    form = "vec_id long, embedding array<double>"
+    rows = [(i % 7, [float(i), 1.0, float(-i % 3)]) for i in range(21)]
+    found = [neighbours.search(spark.createDataFrame(x, form).repartition(n), F.col("id") >= 0).collect() for x, n in ((rows, 1), (rows[::-1], 5))]
+    assert sorted(found[0]) == sorted(found[1]) and len(found[0]) == 42
+
+
 def test_neighbours_of_few_rows(spark):
     form = "vec_id long, embedding array<float>"
     assert neighbours.search(spark.createDataFrame([], form), F.col("id") >= 0).count() == 0
