@@ -8,7 +8,7 @@ meet another line there live on, and are paired.
 
 Where more than ``CROWD`` rows meet, as variants of one template do, the lines are split finer instead. A cell says where
 the edits may lie: in one interval of the indexed line, or in two with one edit each and the characters between them moved
-by a known shift. A cell's key is all that lies outside of its intervals. Intervals are cut into ``PIECES`` pieces and
+by a known shift. A cell's key is all that lies outside of its intervals. Intervals are cut into pieces and
 every choice of pieces for the edits becomes a cell of its own, until few lines share a key or the intervals have one
 character, so that all lines that share a key link. No link is lost, and the pairs stay in proportion to the links.
 Pairs are verified by a banded bit-parallel automaton.
@@ -30,8 +30,8 @@ from .common import fresh, materialise, quoted, scratch
 from .components import connected_components
 
 EDITS, LEAST_CHARS = 2, 10
-#: Rows that may share a key before the lines are split finer, and the pieces that an interval is cut into.
-CROWD, PIECES = 16, 6
+#: Rows that may share a key before the lines are split finer, and the pieces that one interval, or each of two, is cut into.
+CROWD, PIECES, HALVES = 16, 4, 2
 #: One of so many ids is looked at for keys that a great many rows share; those are not brought together in one task.
 LOOK, HOT, MOST_HOT = 64, 500, 2_000
 #: Bits of the filter that keeps lines without partners from being moved: a bound on what is broadcast for it.
@@ -42,9 +42,9 @@ def _div(a: Column, k: int) -> Column:
     return F.call_function("div", a, F.lit(k)).cast("int")
 
 
-def _table(names: str, rows: list[tuple]) -> Column:
-    """A row of numbers for each of ``rows``."""
-    return F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names.split(), r, strict=True)]) for r in rows]))
+def _rows(names: str, rows: list[tuple]) -> Column:
+    """An array of rows of numbers."""
+    return F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names.split(), r, strict=True)]) for r in rows])
 
 
 def _segment_keys(lines: DataFrame, edits: int, least: int) -> DataFrame:
@@ -57,7 +57,7 @@ def _segment_keys(lines: DataFrame, edits: int, least: int) -> DataFrame:
             plan += [(d, i, s) for s in range(low, high + 1) if d or s]
     d, i, s = (F.col(f"at.{c}") for c in "dis")
     length = (F.col("n") - d).cast("int")
-    dealt = lines.where(F.col("n") >= least).select("id", "line", "n", _table("d i s", plan).alias("at")).where(length >= least)
+    dealt = lines.where(F.col("n") >= least).select("id", "line", "n", F.explode(_rows("d i s", plan)).alias("at")).where(length >= least)
     size, longer = _div(length, k), length % k
     start = size * (i - 1) + F.greatest(F.lit(0), longer + i - (k + 1)) + 1 + s
     part = F.substring("line", start, size + (i > k - longer).cast("int"))
@@ -198,16 +198,15 @@ def _met(make: Callable[[DataFrame], DataFrame], base: DataFrame, *contents: str
     a part of the ids finds in a great many rows are summed up instead, and their rows stay where they are.
     """
     look = make(base.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(LOOK)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
-    hot = look.where(F.col("n") >= HOT).orderBy(F.desc("n"), "key").limit(MOST_HOT).select("key", F.lit(True).alias("hot"))
-    hot = materialise(hot, "line-hot")
+    hot = look.where(F.col("n") >= HOT).orderBy(F.desc("n"), "key").limit(MOST_HOT).select("key").collect()  # so many at most
     rows = make(base)
-    many = hot.count() > 0
-    if many:
-        rows = rows.join(F.broadcast(hot), "key", "left")  # at most MOST_HOT rows
+    if hot:
+        known = base.sparkSession.createDataFrame([(r["key"], True) for r in hot], "key long, hot boolean")
+        rows = rows.join(F.broadcast(known), "key", "left")
     sums = {"crowd": F.count("*"), "high": F.max("id")} | {f"{f}_{c}": g(c) for c in contents for f, g in (("least", F.min), ("most", F.max))}
     by = W.partitionBy("key")
-    told = (rows.where("hot is null").drop("hot") if many else rows).withColumns({c: f.over(by) for c, f in sums.items()})
-    if many:
+    told = (rows.where("hot is null").drop("hot") if hot else rows).withColumns({c: f.over(by) for c, f in sums.items()})
+    if hot:
         warm = rows.where("hot").drop("hot")
         told = told.unionByName(warm.join(F.broadcast(warm.groupBy("key").agg(*[f.alias(c) for c, f in sums.items()])), "key"))
     keep = reduce(lambda x, y: x & y, [F.col(f"least_{c}") != F.col(f"most_{c}") for c in contents], F.col("crowd") > 1)
@@ -229,28 +228,31 @@ def _cells(lines: DataFrame, edits: int, least: int) -> DataFrame:
 def _finer(cells: DataFrame, edits: int) -> DataFrame:
     """Cells of the next level with their ``key``; ``c1`` and ``c2`` are hashes of what two intervals hold."""
     shifts = {0: (0, -1, 1), 1: (0, 1), 2: (1,)}
-    one = [(i, i, d, None) for i in range(PIECES) for d in range(edits + 1)]
-    if edits > 1:
-        one += [(i, j, d, s) for i in range(PIECES) for j in range(i + 1, PIECES) for d, ss in shifts.items() for s in ss]
-    two = [(i, j) for i in range(PIECES) for j in range(PIECES)]
-    cut = lambda a, b, i: F.col(a) + _div((F.col(b) - F.col(a)) * i, PIECES)
+    within = [(i, i, 9) for i in range(PIECES)]  # 9: no shift, one interval
+    across = [(i, j) for i in range(PIECES) for j in range(i + 1, PIECES)] if edits > 1 else []
+    one = [_rows("i j s", [*within, *((i, j, s) for i, j in across for s in shifts[d])]) for d in range(3)]
+    two = _rows("i j", [(i, j) for i in range(HALVES) for j in range(HALVES)])
+    cut = lambda a, b, i, of: F.col(a) + _div((F.col(b) - F.col(a)) * i, of)
     some = lambda a, b, a0, b0: (F.col(b) > F.col(a)) | (F.col(a0) == F.col(b0))
     whole = cells.where("s is null")
-    alone = whole.select("id", "line", "l", "d", "a1", "b1", _table("i j d s", [(i, j, d, 9 if s is None else s) for i, j, d, s in one]).alias("at")).where("at.d = d")
+    plan = F.explode(F.when(F.col("d") == 0, one[0]).when(F.col("d") == 1, one[1]).otherwise(one[2]))
+    alone = whole.select("id", "line", "l", "d", "a1", "b1", plan.alias("at"))
     i, j, s = F.col("at.i"), F.col("at.j"), F.col("at.s")
     split = s != 9
     none = F.lit(None).cast("int")
-    ends = {"na1": cut("a1", "b1", i), "nb1": cut("a1", "b1", i + 1), "na2": cut("a1", "b1", j), "nb2": cut("a1", "b1", j + 1)}
+    ends = {"na1": (i, 0), "nb1": (i, 1), "na2": (j, 0), "nb2": (j, 1)}
+    ends = {c: cut("a1", "b1", x + more, PIECES) for c, (x, more) in ends.items()}
     first = alone.withColumns(ends).where(some("na1", "nb1", "a1", "b1") & some("na2", "nb2", "a1", "b1"))
     first = first.where((F.col("a1") < F.col("b1")) | ((i == PIECES - 1) & (j == PIECES - 1)))
     first = first.select(
         F.when(split & (s != 0), -F.abs("id")).otherwise(F.col("id")).alias("id"), "line", "l", "d", F.when(split, s).alias("s"),
         F.col("na1").alias("a1"), F.col("nb1").alias("b1"), F.when(split, F.col("na2")).otherwise(none).alias("a2"), F.when(split, F.col("nb2")).otherwise(none).alias("b2"),
     )
-    both = cells.where("s is not null").select("id", "line", *_CELL, _table("i j", two).alias("at"))
-    ends = {"na1": cut("a1", "b1", i), "nb1": cut("a1", "b1", i + 1), "na2": cut("a2", "b2", j), "nb2": cut("a2", "b2", j + 1)}
+    both = cells.where("s is not null").select("id", "line", *_CELL, F.explode(two).alias("at"))
+    ends = {"na1": ("a1", "b1", i), "nb1": ("a1", "b1", i + 1), "na2": ("a2", "b2", j), "nb2": ("a2", "b2", j + 1)}
+    ends = {c: cut(*x, HALVES) for c, x in ends.items()}
     second = both.withColumns(ends).where(some("na1", "nb1", "a1", "b1") & some("na2", "nb2", "a2", "b2"))
-    last = lambda a, b, x: (F.col(a) < F.col(b)) | (x == PIECES - 1)
+    last = lambda a, b, x: (F.col(a) < F.col(b)) | (x == HALVES - 1)
     second = second.where(last("a1", "b1", i) & last("a2", "b2", j)).select(
         "id", "line", "l", "d", "s", *[F.col(f"n{c}").alias(c) for c in ("a1", "b1", "a2", "b2")]
     )
@@ -269,13 +271,13 @@ def _finer(cells: DataFrame, edits: int) -> DataFrame:
     )
 
 
-def _crowded_pairs(crowded: DataFrame, edits: int, least: int) -> DataFrame | None:
+def _crowded_pairs(crowded: DataFrame, edits: int, least: int) -> DataFrame:
     """Pairs among ``crowded(id, line, n)`` that may link, by ever finer cells; a level with no crowd ends it."""
     cells, found = _cells(crowded, edits, least), None
     while True:
         level = materialise(_met(lambda c: _finer(c, edits), cells, "c1", "c2"), "line-cells")
         done = (F.col("crowd") <= CROWD) | ((F.col("b1") - F.col("a1") <= 1) & F.coalesce(F.col("b2") - F.col("a2") <= 1, F.lit(True)))
-        pairs = materialise(_pairs(level.where(done).select("key", "id")).distinct(), "line-pairs")
+        pairs = _pairs(level.where(done).select("key", "id"))
         found = pairs if found is None else found.union(pairs)
         cells = level.where(~done).select("id", "line", *_CELL).distinct()
         if cells.isEmpty():
