@@ -78,8 +78,7 @@ class ConversationIndex:
         self.load()
 
     def _visited(self, node_id: str) -> None:
-        row = mutate.visit(self.graph, node_id).visits.exceptAll(self.graph.visits)
-        store.append(self.graph, self.root, "visits", row)
+        store.append(self.graph, self.root, "visits", mutate.visit_row(self.spark, node_id))
         self.load()
 
     def query(self, text: str) -> DataFrame:
@@ -107,10 +106,13 @@ class ConversationIndex:
         return found
 
     def annotate(self, node_id: str, **note) -> bool:
-        graph = mutate.annotate(self.graph, node_id, **note)
-        if graph is not None:
-            self._changed(graph)
-        return graph is not None
+        """Adds the rows of a note to the stored tables; nothing else is written."""
+        rows = mutate.annotation_rows(self.graph, node_id, **note)
+        for name, more in (rows or {}).items():
+            store.append(self.graph, self.root, name, more)
+        if rows:
+            self.load()
+        return rows is not None
 
     def hot(self, limit: int = 20) -> DataFrame:
         return query.hot_nodes(self.graph.nodes, self.graph.visits, self.graph.annotations, limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,34 +32,43 @@ def appended(table: DataFrame, rows: DataFrame, column: str, form: str, *order)
     return table.unionByName(_shaped(numbered, form))
 
 
+def visit_row(spark: SparkSession, node_id: str) -> DataFrame:
+    return spark.createDataFrame([(node_id, _now())], schema.VISITS)
+
+
 def visit(graph: Graph, node_id: str) -> Graph:
     """One row behind the visits of an existing node."""
     if graph.nodes.where(F.col("id") == node_id).isEmpty():
         return graph
-    row = graph.spark.createDataFrame([(node_id, _now())], schema.VISITS)
-    return replace(graph, visits=graph.visits.unionByName(row))
+    return replace(graph, visits=graph.visits.unionByName(visit_row(graph.spark, node_id)))
 
 
-def annotate(
+def annotation_rows(
     graph: Graph, node_id: str, type: str | None = None, text: str | None = None, by: str | None = None, target_entity: str | None = None
-) -> Graph | None:
-    """Notes something on a node; a target entity is created if missing and linked by an edge of the note's type."""
+) -> dict[str, DataFrame] | None:
+    """What a note on a node adds to each table: a target entity is created if missing and linked by an edge of the note's
+    type. None if there is no such node."""
     if graph.nodes.where(F.col("id") == node_id).isEmpty():
         return None
     spark = graph.spark
     note = spark.createDataFrame([(node_id, type, text, by, target_entity, _now())], "node_id string, type string, text string, by string, target_entity string, at timestamp")
-    graph = replace(graph, annotations=graph.annotations.unionByName(_shaped(note, schema.ANNOTATIONS)))
+    rows = {"annotations": _shaped(note, schema.ANNOTATIONS)}
     if not target_entity:
-        return graph
+        return rows
     target = f"entity:{target_entity}"
-    entity = spark.createDataFrame([(target, "entity", target_entity, "annotated", 0)], "id string, type string, name string, entity_type string, global_frequency long")
-    new = entity.join(graph.nodes.select("id"), "id", "left_anti")
-    edge = spark.createDataFrame([(node_id, target, type or "ABOUT", 1.0, text, by)], "src string, dst string, type string, weight double, text string, by string")
-    return replace(
-        graph,
-        nodes=appended(graph.nodes, new, "node_seq", schema.NODES),
-        edges=appended(graph.edges, edge, "edge_seq", schema.EDGES),
-    )
+    if graph.nodes.where(F.col("id") == target).isEmpty():
+        last = _last(graph.nodes, "node_seq") + 1
+        entity = spark.createDataFrame([(target, "entity", target_entity, "annotated", 0, last)], "id string, type string, name string, entity_type string, global_frequency long, node_seq long")
+        rows["nodes"] = _shaped(entity, schema.NODES)
+    last = _last(graph.edges, "edge_seq") + 1
+    edge = spark.createDataFrame([(node_id, target, type or "ABOUT", 1.0, text, by, last)], "src string, dst string, type string, weight double, text string, by string, edge_seq long")
+    return rows | {"edges": _shaped(edge, schema.EDGES)}
+
+
+def annotate(graph: Graph, node_id: str, **note: str | None) -> Graph | None:
+    """The graph with a note; ``note`` as in ``annotation_rows``."""
+    rows = annotation_rows(graph, node_id, **note)
+    return rows and replace(graph, **{name: getattr(graph, name).unionByName(more) for name, more in rows.items()})
 
 
 def entity_remaps(nodes: DataFrame) -> DataFrame:

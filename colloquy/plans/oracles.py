@@ -133,6 +133,64 @@ r{i} AS MATERIALIZED (SELECT nodes.id, 0.15 / n + 0.85 * (coalesce(got, 0.0) + (
     return "".join(parts) + f",\npr AS (SELECT id, r AS pagerank FROM r{rounds})"
 
 
+def converged(most: int = 60, tolerance: float = 1e-6) -> str:
+    """Adds ``pr(id, pagerank)`` of the first round whose ranks differ from the last by less than ``tolerance`` a node."""
+    rounds = ranks(most).rpartition(",\npr AS")[0]
+    moved = " UNION ALL ".join(f"SELECT {i} AS i, sum(abs(a.r - b.r)) AS d FROM r{i} a JOIN r{i - 1} b USING (id)" for i in range(1, most + 1))
+    picked = " UNION ALL ".join(f"SELECT r{i}.* FROM r{i} JOIN stop ON i = {i}" for i in range(1, most + 1))
+    return rounds + f""",
+stop AS (SELECT min(i) AS i FROM ({moved}), cnt WHERE d < {tolerance} * n),
+pr AS (SELECT id, r AS pagerank FROM ({picked}))"""
+
+
+def deduplicated(rounds: int = 8) -> str:
+    """Adds ``fin(old, new)``: entities and the forms they fold into."""
+    steps = "".join(
+        f""",
+f{i} AS (SELECT a.old, coalesce(b.new, a.new) AS new FROM f{i - 1} a LEFT JOIN f0 b ON b.old = a.new WHERE a.old <> coalesce(b.new, a.new))"""
+        for i in range(1, rounds + 1)
+    )
+    return f""",
+ent AS (SELECT id, name, global_frequency, node_seq FROM nodes WHERE type = 'entity'),
+forms AS (SELECT id, node_seq, 1 AS k, CASE WHEN ends_with(name, 's') AND NOT ends_with(name, 'ss') AND length(name) > 3 THEN substr(name, 1, length(name) - 1) END AS base FROM ent
+  UNION ALL SELECT id, node_seq, 2, CASE WHEN ends_with(name, 'es') AND length(name) > 4 THEN substr(name, 1, length(name) - 2) END FROM ent
+  UNION ALL SELECT id, node_seq, 3, CASE WHEN len(string_split(name, ' ')) = 2 AND split_part(name, ' ', 1) <> split_part(name, ' ', 2)
+    THEN split_part(name, ' ', 2)||' '||split_part(name, ' ', 1) END FROM ent),
+f0 AS (SELECT forms.id AS old, 'entity:'||arg_max(base, k) AS new FROM forms JOIN ent ON ent.name = base WHERE k < 3 OR forms.node_seq < ent.node_seq GROUP BY forms.id){steps},
+fin AS (SELECT * FROM f{rounds})"""
+
+
+def merged(first: str = CONV, second: str = EVENTS) -> str:
+    """CTEs of two graphs ``tn, te`` and ``sn, se``, and ``ids(id, type, new, merged)`` of the second's nodes."""
+    clean = "trim(regexp_replace(lower(name), '[^a-z0-9\\s''-]', '', 'g'))"
+    return f"""WITH tn AS ({graph(first)} SELECT * FROM nodes), te AS ({graph(first)} SELECT * FROM edges),
+sn AS ({graph(second)} SELECT * FROM nodes), se AS ({graph(second)} SELECT * FROM edges),
+tp AS (SELECT id, node_seq, lower(name) AS whole, {clean} AS clean FROM tn WHERE type = 'person'),
+firm AS (SELECT whole AS key, node_seq * 9 AS o, id FROM tp UNION ALL SELECT clean, node_seq * 9 + 1, id FROM tp WHERE clean <> '' AND clean <> whole),
+soft AS (SELECT string_split_regex(clean, '\\s+')[1] AS key, node_seq AS o, id FROM tp WHERE length(string_split_regex(clean, '\\s+')[1]) > 2),
+keys AS (SELECT key, arg_max(id, o) AS hit FROM firm GROUP BY key
+  UNION ALL SELECT key, arg_min(id, o) FROM soft WHERE key NOT IN (SELECT key FROM firm) GROUP BY key),
+tried AS (SELECT id, 0 AS k, lower(name) AS key FROM sn WHERE type = 'person' UNION ALL SELECT id, 1, {clean} FROM sn WHERE type = 'person'
+  UNION ALL SELECT id, 2, string_split_regex({clean}, '\\s+')[1] FROM sn WHERE type = 'person'),
+found AS (SELECT id, arg_min(hit, k) AS hit FROM tried JOIN keys USING (key) GROUP BY id),
+ids AS (SELECT sn.id, sn.type, coalesce(hit, tn.id, sn.id) AS new, coalesce(hit, tn.id) IS NOT NULL AS merged FROM sn LEFT JOIN found ON found.id = sn.id LEFT JOIN tn ON tn.id = sn.id WHERE sn.type = 'person'
+  UNION ALL SELECT sn.id, sn.type, coalesce(tn.id, sn.id), tn.id IS NOT NULL FROM sn LEFT JOIN tn ON tn.id = 'entity:'||sn.name WHERE sn.type = 'entity'
+  UNION ALL SELECT sn.id, sn.type, CASE WHEN tn.id IS NULL THEN sn.id ELSE sn.id||'_2' END, false FROM sn LEFT JOIN tn ON tn.id = sn.id WHERE sn.type NOT IN ('person', 'entity'))"""
+
+
+MERGED_NODES = """,
+more AS (SELECT new, sum(coalesce(global_frequency, 0)) AS more FROM sn JOIN ids USING (id) WHERE merged AND sn.type = 'entity' GROUP BY new)
+SELECT id, type, name, CAST(coalesce(global_frequency, 0) + coalesce(more, 0) AS BIGINT) AS global_frequency FROM tn LEFT JOIN more ON new = id
+UNION ALL SELECT new, sn.type, name, CAST(coalesce(global_frequency, 0) AS BIGINT) FROM sn JOIN ids USING (id) WHERE NOT merged"""
+MERGED_EDGES = """,
+moved AS (SELECT a.new AS src, b.new AS dst, se.type, weight FROM se JOIN ids a ON a.id = src JOIN ids b ON b.id = dst),
+meets AS (SELECT least(src, dst) AS p, greatest(src, dst) AS q, sum(weight) AS more FROM moved WHERE type = 'INTERACTS' GROUP BY p, q),
+old AS (SELECT te.*, least(src, dst) AS p, greatest(src, dst) AS q FROM te)
+SELECT least(src, dst) AS a, greatest(src, dst) AS b, type, round(CAST(weight + CASE WHEN type = 'INTERACTS' THEN coalesce(more, 0) ELSE 0 END AS DOUBLE), 6) AS weight FROM old LEFT JOIN meets USING (p, q)
+UNION ALL SELECT p, q, 'INTERACTS', round(CAST(more AS DOUBLE), 6) FROM meets WHERE (p, q) NOT IN (SELECT (p, q) FROM old WHERE type = 'INTERACTS')
+UNION ALL SELECT least(src, dst), greatest(src, dst), type, round(CAST(weight AS DOUBLE), 6) FROM moved WHERE type <> 'INTERACTS'"""
+
+
 def html_to_text(c: str) -> str:
     for pattern, by in T._HTML:
         c = f"regexp_replace({c}, {quoted(pattern)}, {quoted(by)}, 'g')"

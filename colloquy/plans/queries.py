@@ -152,7 +152,7 @@ def page_text(spark, sf_dir):
     return A.read(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
-SUBJECT = "concat(CASE WHEN doc_id % 3 = 0 THEN 'Re: ' WHEN doc_id % 3 = 1 THEN 'FWD:  re: ' ELSE ' ' END, substr(text, 1, 60))"
+SUBJECT = "concat(CASE WHEN doc_id % 3 = 0 THEN 'Re: ' WHEN doc_id % 3 = 1 THEN 'FWD:  re: ' ELSE ' ' END, text)"
 
 
 @registered(rf"SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace({SUBJECT}, '(?i)^(re|fwd?|fw):\s*', ''), '^\s+', ''), '\s+$', '')) AS subject FROM documents")
@@ -239,7 +239,7 @@ def pagerank_fixed(spark, sf_dir):
     return conversation_graph(spark, sf_dir).nodes.select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
-@registered()
+@registered(O.graph() + O.converged() + " SELECT id, round(pagerank, 9) AS pagerank FROM pr")
 def pagerank_converged(spark, sf_dir):
     g = conversation_graph(spark, sf_dir)
     return pagerank(g.nodes, g.edges).select("id", F.round("pagerank", 9).alias("pagerank"))
@@ -369,7 +369,10 @@ def hot_nodes(spark, sf_dir):
 # ---------------------------------------------------------------- changes
 
 
-@registered()
+@registered(
+    O.graph() + O.deduplicated() + """, more AS (SELECT new, sum(global_frequency) AS more FROM fin JOIN ent ON ent.id = fin.old GROUP BY new)
+SELECT id, name, CAST(global_frequency + coalesce(more, 0) AS BIGINT) AS global_frequency FROM ent LEFT JOIN more ON new = id WHERE id NOT IN (SELECT old FROM fin)"""
+)
 def dedup_entities(spark, sf_dir):
     g, _ = mutate.dedup_entities(conversation_graph(spark, sf_dir))
     return g.nodes.where("type = 'entity'").select("id", "name", "global_frequency")
@@ -379,20 +382,21 @@ def _event_graph(spark, sf_dir) -> G.Graph:
     key = (spark.sparkContext.applicationId, sf_dir + "#events")
     if key not in _GRAPHS:
         messages = A.event_messages(spark, sf_dir)
-        _GRAPHS[key] = G.build_graph(messages, A.channels_of(messages), A.people_of(messages))
+        _GRAPHS[key] = G.build_graph(messages, A.channels_of(messages), A.people_of(messages), fold=False)
     return _GRAPHS[key]
 
 
-@registered()
+@registered(O.merged() + O.MERGED_NODES)
 def merged_nodes(spark, sf_dir):
     merged, _ = mutate.merge_graphs(conversation_graph(spark, sf_dir), _event_graph(spark, sf_dir))
-    return merged.nodes.select("id", "type", "name", "global_frequency")
+    return merged.nodes.select("id", "type", "name", _count())
 
 
-@registered()
+@registered(O.merged() + O.MERGED_EDGES)
 def merged_edges(spark, sf_dir):
+    """Ends in order of their names, since an interaction has no direction."""
     merged, _ = mutate.merge_graphs(conversation_graph(spark, sf_dir), _event_graph(spark, sf_dir))
-    return merged.edges.select("src", "dst", "type", F.round("weight", 6).alias("weight"))
+    return merged.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "type", F.round("weight", 6).alias("weight"))
 
 
 @registered(

@@ -47,23 +47,27 @@ def save(graph: Graph, root: str, meta: dict | None = None) -> dict:
 
 
 def append(graph: Graph, root: str, table: str, rows: DataFrame) -> None:
-    """Adds visits or annotations to the current version without touching the rest."""
-    rows.write.mode("append").parquet(f"{root}/{graph.meta['version']}/{table}")
+    """Adds rows to a table of the current version without touching the rest."""
+    writer = rows.write.mode("append")
+    if table == "edges":
+        writer = writer.partitionBy("type")
+    writer.parquet(f"{root}/{graph.meta['version']}/{table}")
 
 
 def load(spark: SparkSession, root: str) -> Graph | None:
-    """The current version; None if there is none or it cannot be read."""
+    """The current version; None if there is none or what names it cannot be parsed. Other faults are raised."""
     try:
         meta = _read_meta(spark, root)
-        if not meta:
-            return None
-        tables = {}
-        for name, form in _TABLES.items():
-            wanted = schema.columns(form)
-            tables[name] = spark.read.schema(form).parquet(f"{root}/{meta['version']}/{name}").select(*wanted)
-        return Graph(**tables, meta=meta)
-    except Exception:  # noqa: BLE001  a store that cannot be read is no store
+        version = meta and meta["version"]
+    except (ValueError, KeyError):
         return None
+    if not version:
+        return None
+    tables = {}
+    for name, form in _TABLES.items():
+        wanted = schema.columns(form)
+        tables[name] = spark.read.schema(form).parquet(f"{root}/{version}/{name}").select(*wanted)
+    return Graph(**tables, meta=meta)
 
 
 def clear(spark: SparkSession, root: str) -> None:
