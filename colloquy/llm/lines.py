@@ -48,7 +48,7 @@ def _rows(names: str, rows: list[tuple]) -> Column:
 
 
 def _segment_keys(lines: DataFrame, edits: int, least: int) -> DataFrame:
-    """``key, id`` of ``lines(id, line, n)``; negative ids are probes that are not indexed."""
+    """``key, id, d`` of ``lines(id, line, n)``; negative ids are probes that are not indexed, for lines ``d`` shorter."""
     k = edits + 1
     plan = [(0, i, 0) for i in range(1, k + 1)]
     for d in range(k):
@@ -61,7 +61,8 @@ def _segment_keys(lines: DataFrame, edits: int, least: int) -> DataFrame:
     size, longer = _div(length, k), length % k
     start = size * (i - 1) + F.greatest(F.lit(0), longer + i - (k + 1)) + 1 + s
     part = F.substring("line", start, size + (i > k - longer).cast("int"))
-    return dealt.select(F.xxhash64(length, i, part).alias("key"), F.when((d == 0) & (s == 0), F.col("id")).otherwise(-F.col("id")).alias("id"))
+    signed = F.when((d == 0) & (s == 0), F.col("id")).otherwise(-F.col("id"))
+    return dealt.select(F.xxhash64(length, i, part).alias("key"), signed.alias("id"), d.alias("d"))
 
 
 def _trimmed(line: Column) -> Column:
@@ -216,38 +217,37 @@ def _met(make: Callable[[DataFrame], DataFrame], base: DataFrame, *contents: str
 _CELL = ["l", "d", "s", "a1", "b1", "a2", "b2"]
 
 
-def _cells(lines: DataFrame, edits: int, least: int) -> DataFrame:
-    """One interval over the whole line, for each length of an indexed line in reach."""
-    plan = F.explode(F.array(*[F.lit(d) for d in range(edits + 1)])).alias("d")
-    found = lines.select("id", "line", F.col("n").cast("int").alias("n"), plan).withColumn("l", F.col("n") - F.col("d")).where(F.col("l") >= least)
+def _cells(lines: DataFrame) -> DataFrame:
+    """One interval over the whole line, for each length ``d`` shorter of an indexed line, of ``lines(id, d, line, n)``."""
+    length = (F.col("n") - F.col("d")).cast("int")
     signed = F.when(F.col("d") == 0, F.col("id")).otherwise(-F.col("id")).alias("id")
     none = F.lit(None).cast("int")
-    return found.select(signed, "line", "l", "d", none.alias("s"), F.lit(0).alias("a1"), F.col("l").alias("b1"), none.alias("a2"), none.alias("b2"))
+    return lines.select(signed, "line", length.alias("l"), "d", none.alias("s"), F.lit(0).alias("a1"), length.alias("b1"), none.alias("a2"), none.alias("b2"))
 
 
 def _finer(cells: DataFrame, edits: int) -> DataFrame:
     """Cells of the next level with their ``key``; ``c1`` and ``c2`` are hashes of what two intervals hold."""
     shifts = {0: (0, -1, 1), 1: (0, 1), 2: (1,)}
-    within = [(i, i, 9) for i in range(PIECES)]  # 9: no shift, one interval
-    across = [(i, j) for i in range(PIECES) for j in range(i + 1, PIECES)] if edits > 1 else []
-    one = [_rows("i j s", [*within, *((i, j, s) for i, j in across for s in shifts[d])]) for d in range(3)]
+    across = lambda gap, d: [(i, j, s) for i in range(PIECES) for j in range(i + gap, PIECES) for s in shifts[d] if edits > 1]
+    # 9: one interval. In a long one, edits in the same or the next piece stay in one of two pieces; else pieces are characters
+    far = [_rows("i j s", [*((i, i + 1, 9) for i in range(PIECES - 1)), *across(2, d)]) for d in range(3)]
+    close = [_rows("i j s", [*((i, i, 9) for i in range(PIECES)), *across(1, d)]) for d in range(3)]
+    plan = lambda x: F.when(F.col("d") == 0, x[0]).when(F.col("d") == 1, x[1]).otherwise(x[2])
     two = _rows("i j", [(i, j) for i in range(HALVES) for j in range(HALVES)])
     cut = lambda a, b, i, of: F.col(a) + _div((F.col(b) - F.col(a)) * i, of)
-    some = lambda a, b, a0, b0: (F.col(b) > F.col(a)) | (F.col(a0) == F.col(b0))
-    whole = cells.where("s is null")
-    plan = F.explode(F.when(F.col("d") == 0, one[0]).when(F.col("d") == 1, one[1]).otherwise(one[2]))
-    alone = whole.select("id", "line", "l", "d", "a1", "b1", plan.alias("at"))
-    i, j, s = F.col("at.i"), F.col("at.j"), F.col("at.s")
+    size = F.col("b1") - F.col("a1")
+    few = F.filter(plan(close), lambda x: x["j"] < size)
+    whole = cells.where("s is null").select("id", "line", "l", "d", "a1", "b1", F.explode(F.when(size > PIECES, plan(far)).otherwise(few)).alias("at"))
+    i, j, s, of = F.col("at.i"), F.col("at.j"), F.col("at.s"), F.least(size, F.lit(PIECES))
     split = s != 9
+    place = lambda x: F.col("a1") + F.call_function("div", size * x, of).cast("int")
     none = F.lit(None).cast("int")
-    ends = {"na1": (i, 0), "nb1": (i, 1), "na2": (j, 0), "nb2": (j, 1)}
-    ends = {c: cut("a1", "b1", x + more, PIECES) for c, (x, more) in ends.items()}
-    first = alone.withColumns(ends).where(some("na1", "nb1", "a1", "b1") & some("na2", "nb2", "a1", "b1"))
-    first = first.where((F.col("a1") < F.col("b1")) | ((i == PIECES - 1) & (j == PIECES - 1)))
-    first = first.select(
+    first = whole.select(
         F.when(split & (s != 0), -F.abs("id")).otherwise(F.col("id")).alias("id"), "line", "l", "d", F.when(split, s).alias("s"),
-        F.col("na1").alias("a1"), F.col("nb1").alias("b1"), F.when(split, F.col("na2")).otherwise(none).alias("a2"), F.when(split, F.col("nb2")).otherwise(none).alias("b2"),
+        place(i).alias("a1"), F.when(split, place(i + 1)).otherwise(place(j + 1)).alias("b1"),
+        F.when(split, place(j)).otherwise(none).alias("a2"), F.when(split, place(j + 1)).otherwise(none).alias("b2"),
     )
+    some = lambda a, b, a0, b0: (F.col(b) > F.col(a)) | (F.col(a0) == F.col(b0))
     both = cells.where("s is not null").select("id", "line", *_CELL, F.explode(two).alias("at"))
     ends = {"na1": ("a1", "b1", i), "nb1": ("a1", "b1", i + 1), "na2": ("a2", "b2", j), "nb2": ("a2", "b2", j + 1)}
     ends = {c: cut(*x, HALVES) for c, x in ends.items()}
@@ -271,9 +271,9 @@ def _finer(cells: DataFrame, edits: int) -> DataFrame:
     )
 
 
-def _crowded_pairs(crowded: DataFrame, edits: int, least: int) -> DataFrame:
-    """Pairs among ``crowded(id, line, n)`` that may link, by ever finer cells; a level with no crowd ends it."""
-    cells, found = _cells(crowded, edits, least), None
+def _crowded_pairs(crowded: DataFrame, edits: int) -> DataFrame:
+    """Pairs among ``crowded(id, d, line, n)`` that may link, by ever finer cells; a level with no crowd ends it."""
+    cells, found = _cells(crowded), None
     while True:
         level = materialise(_met(lambda c: _finer(c, edits), cells, "c1", "c2"), "line-cells")
         done = (F.col("crowd") <= CROWD) | ((F.col("b1") - F.col("a1") <= 1) & F.coalesce(F.col("b2") - F.col("a2") <= 1, F.lit(True)))
@@ -294,10 +294,10 @@ def line_links(distinct: DataFrame, edits: int = EDITS, least_chars: int = LEAST
     met = materialise(_met(lambda x: _segment_keys(x, edits, least), distinct.select("id", "line", "n")), "line-rows")
     ids = met.select(F.abs("id").alias("id")).distinct()
     texts = materialise(_among(distinct.select("id", "line", "n"), ids), "line-texts")
-    pairs = _pairs(met.where(F.col("crowd") <= CROWD))
-    crowded = met.where(F.col("crowd") > CROWD).select(F.abs("id").alias("id")).distinct()
+    pairs = _pairs(met.where(F.col("crowd") <= CROWD).select("key", "id"))
+    crowded = met.where(F.col("crowd") > CROWD).select(F.abs("id").alias("id"), "d").distinct()
     if not crowded.isEmpty():
-        pairs = pairs.union(_crowded_pairs(texts.join(crowded, "id"), edits, least))
+        pairs = pairs.union(_crowded_pairs(texts.join(crowded, "id"), edits))
     u = texts.select(F.col("id").alias("u"), F.col("line").alias("a"), F.col("n").alias("na"))
     v = texts.select(F.col("id").alias("v"), F.col("line").alias("b"), F.col("n").alias("nb"))
     both = pairs.distinct().join(u, "u").join(v, "v").where(F.abs(F.col("na") - F.col("nb")) <= edits)
