@@ -67,8 +67,8 @@ def exact_lanes(text: Column) -> Column:
 def piece_sums(text: Column) -> Column:
     """``array<bigint>``: the number of pieces, then the packed lane counts."""
     finer = lambda p: F.when(F.octet_length(p) > LONG, F.regexp_extract_all(p, F.lit(DENSE), F.lit(0))).otherwise(F.array(p))
-    pieces = F.split(text, PIECE_END)
-    pieces = F.when(F.exists(pieces, lambda p: F.octet_length(p) > LONG), F.flatten(F.transform(pieces, finer))).otherwise(pieces)
+    cut = lambda ps: F.when(F.exists(ps, lambda p: F.octet_length(p) > LONG), F.flatten(F.transform(ps, finer))).otherwise(ps)
+    pieces = F.get(F.transform(F.array(F.split(text, PIECE_END)), cut), F.lit(0))  # the split is computed once
     ones, lanes = F.lit(_ONES).cast("long"), F.lit(_LANES).cast("long")
     names = ["n", *(f"s{h}_{j}" for h in range(HASHES) for j in range(WORDS))]
     zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in names])
@@ -136,15 +136,18 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.withColumn("fp", fingerprint(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
     """Adds ``next_<c>`` of the next document in descending ``doc_id`` order; after the last comes the first.
 
-    ``columns`` include ``doc_id`` and ``text``. The order is cut into runs of about ``RUN_ROWS`` ids; the first row of
+    ``columns`` include ``doc_id`` and ``text``; ``derived`` columns are computed from them once the rows are placed, so
+    that finding the runs' first rows does not compute them for all rows again. The order is cut into runs of about ``RUN_ROWS`` ids; the first row of
     each run is also put behind the run before it, so no row but these is moved twice. Null ids come last; rows of one
     id are ordered by a hash of their text, and an id that fills several runs is cut by that hash.
     """
     rows = docs.select("doc_id").count()
+    derived = derived or {}
     if not rows:
+        docs, columns = docs.select(*columns).withColumns(derived), [*columns, *derived]
         return docs.select(*columns, *[F.col(c).alias(f"next_{c}") for c in columns])
     keyed = docs.select(*columns).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
     keyed = keyed.withColumn("_hash", F.xxhash64("text"))
@@ -167,7 +170,8 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     heads = placed.join(F.broadcast(tops), ["_run", "_key", "_hash"])
     heads = heads.withColumn("_place", F.row_number().over(W.partitionBy("_to").orderBy("text"))).where("_place = 1")
     heads = heads.select(*columns, "_key", "_hash", F.col("_to").alias("_run"), F.lit(1).alias("_ghost"))
-    both = placed.withColumn("_ghost", F.lit(0)).unionByName(heads)
+    both = placed.withColumn("_ghost", F.lit(0)).unionByName(heads).withColumns(derived)
+    columns = [*columns, *derived]
     w = W.partitionBy("_run").orderBy("_ghost", *order)
     nexts = [F.lead(c).over(w).alias(f"next_{c}") for c in columns]
     return both.select(*columns, "_ghost", *nexts).where("_ghost = 0").drop("_ghost")
@@ -182,7 +186,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     million times, the likeness.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = with_next(fingerprint_documents(base), ["doc_id", "text", "fp"])
+    rows = with_next(base, ["doc_id", "text"], {"fp": fingerprint(F.col("text"))})
     n = F.length("text")
     k = F.floor(n / 3).cast("int")
     edited = rows.select(
