@@ -100,7 +100,8 @@ def _signed(sums: Column) -> Column:
     """The lanes' sums of signs. A lane has a count modulo ``2 ** LANE_BITS``: the one nearest to half of all pieces is meant."""
     n, wrap = F.element_at(sums, 1).cast("double"), float(1 << LANE_BITS)
     count = lambda x, i: F.shiftrightunsigned(x, i * STRIDE).bitwiseAND(F.lit(_LANE).cast("long")).cast("double")
-    lane = lambda c: 2.0 * (c + wrap * F.floor((n / 2 - c) / wrap + 0.5)) - n
+    wrapped = lambda c: 2.0 * (c + wrap * F.floor((n / 2 - c) / wrap + 0.5)) - n
+    lane = lambda c: F.when(n < wrap, 2.0 * c - n).otherwise(wrapped(c))
     return F.flatten(
         F.transform(F.slice(sums, 2, HASHES * WORDS), lambda x: F.array(*[lane(count(x, i)) for i in range(3)]))
     )
@@ -112,10 +113,15 @@ def _dot(a: Column, b: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: estimated cosine of the two multisets of pieces; 1 for equal fingerprints."""
-    x, y = _signed(a["sums"]), _signed(b["sums"])
-    size = F.sqrt(_dot(x, x)) * F.sqrt(_dot(y, y))
-    cosine = F.when(size > 0, _dot(x, y) / size).otherwise(0.0)
-    return F.when(a == b, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine)))
+    products = lambda v: F.struct(*[_dot(v[i], v[j]).alias(i + j) for i, j in ("xx", "yy", "xy")])
+
+    def bounded(d: Column) -> Column:
+        size = F.sqrt(d["xx"]) * F.sqrt(d["yy"])
+        cosine = F.when(size > 0, d["xy"] / size).otherwise(0.0)
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine))
+
+    signs = F.array(F.struct(_signed(a["sums"]).alias("x"), _signed(b["sums"]).alias("y")))  # each computed once
+    return F.when(a == b, 1.0).otherwise(F.get(F.transform(F.transform(signs, products), bounded), F.lit(0)))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
