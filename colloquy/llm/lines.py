@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -214,7 +215,7 @@ def _met(make: Callable[[DataFrame], DataFrame], base: DataFrame, *contents: str
     return told.where(keep & (F.col("high") > 0)).drop(*[c for c in sums if c != "crowd"])
 
 
-_CELL = ["l", "d", "s", "a1", "b1", "a2", "b2"]
+_CELL = ["l", "d", "s", "a1", "b1", "a2", "b2", "k"]
 
 
 def _cells(lines: DataFrame) -> DataFrame:
@@ -222,39 +223,52 @@ def _cells(lines: DataFrame) -> DataFrame:
     length = (F.col("n") - F.col("d")).cast("int")
     signed = F.when(F.col("d") == 0, F.col("id")).otherwise(-F.col("id")).alias("id")
     none = F.lit(None).cast("int")
-    return lines.select(signed, "line", length.alias("l"), "d", none.alias("s"), F.lit(0).alias("a1"), length.alias("b1"), none.alias("a2"), none.alias("b2"))
+    return lines.select(
+        signed, "line", length.alias("l"), "d", none.alias("s"), F.lit(0).alias("a1"), length.alias("b1"), none.alias("a2"), none.alias("b2"),
+        F.lit(0).cast("long").alias("k"),
+    )
+
 
+def _finer(cells: DataFrame, edits: int, level: int) -> DataFrame:
+    """Cells of the next level with their ``key``; ``c1`` and ``c2`` are hashes of what two intervals hold.
 
-def _finer(cells: DataFrame, edits: int) -> DataFrame:
-    """Cells of the next level with their ``key``; ``c1`` and ``c2`` are hashes of what two intervals hold."""
-    shifts = {0: (0, -1, 1), 1: (0, 1), 2: (1,)}
-    across = lambda gap, d: [(i, j, s) for i in range(PIECES) for j in range(i + gap, PIECES) for s in shifts[d] if edits > 1]
-    # 9: one interval. In a long one, edits in the same or the next piece stay in one of two pieces; else pieces are characters
-    far = [_rows("i j s", [*((i, i + 1, 9) for i in range(PIECES - 1)), *across(2, d)]) for d in range(3)]
-    close = [_rows("i j s", [*((i, i, 9) for i in range(PIECES)), *across(1, d)]) for d in range(3)]
+    One interval of level ``t`` is two neighbouring steps, ``k`` and ``k + 1``, of a grid of ``2 ** t`` steps over the indexed
+    line, so intervals of one level overlap by a step and agree in it. A cell that several intervals hold is made by the
+    last of them: two lines that share the key of one share it in all, so they meet there or have been paired there.
+    """
+    # of two lines of one length, that one probes whose insertion comes first, so a shift to the right is enough
+    shifts = {d: ((0, 1) if d < 2 else (1,)) if edits > 1 else () for d in range(3)}
+    # steps p to q, and r to w, of PIECES; 9: one interval. In a long one, edits in the same or the next step stay in one of
+    # two steps; else steps are characters
+    ends = lambda d: [(0, 2, 3, 4, d), (0, 1, 2, 3, d)]
+    far = [_rows("p q r w s", [(0, 2, 0, 0, 9), (1, 3, 0, 0, 9), (2, 4, 0, 0, 9), *(x for s in shifts[d] for x in ends(s))]) for d in range(3)]
+    every = [(i, j) for i in range(PIECES) for j in range(i + 1, PIECES)]
+    close = [_rows("p q r w s", [*((i, i + 1, 0, 0, 9) for i in range(PIECES)), *((i, i + 1, j, j + 1, s) for i, j in every for s in shifts[d])]) for d in range(3)]
     plan = lambda x: F.when(F.col("d") == 0, x[0]).when(F.col("d") == 1, x[1]).otherwise(x[2])
     two = _rows("i j", [(i, j) for i in range(HALVES) for j in range(HALVES)])
     cut = lambda a, b, i, of: F.col(a) + _div((F.col(b) - F.col(a)) * i, of)
-    size = F.col("b1") - F.col("a1")
-    few = F.filter(plan(close), lambda x: x["j"] < size)
-    whole = cells.where("s is null").select("id", "line", "l", "d", "a1", "b1", F.explode(F.when(size > PIECES, plan(far)).otherwise(few)).alias("at"))
-    i, j, s, of = F.col("at.i"), F.col("at.j"), F.col("at.s"), F.least(size, F.lit(PIECES))
-    split = s != 9
-    place = lambda x: F.col("a1") + F.call_function("div", size * x, of).cast("int")
-    none = F.lit(None).cast("int")
+    size, k = F.col("b1") - F.col("a1"), F.col("k")
+    step = lambda n, t: F.call_function("div", F.col("l").cast("long") * n, F.lit(1 << t).cast("long")).cast("int")
+    last, middle = k == (1 << level) - 2, step(k + 1, level) - F.col("a1")
+    own_far = F.filter(plan(far), lambda x: (x["p"] < 2) | last)
+    own_close = F.filter(plan(close), lambda x: (x["q"] <= size) & (x["w"] <= size) & ((x["p"] < middle) | last))
+    whole = cells.where("s is null").select("id", "line", "l", "d", "k", "a1", (size > PIECES).alias("long"), F.explode(F.when(size > PIECES, own_far).otherwise(own_close)).alias("at"))
+    s, split = F.col("at.s"), F.col("at.s") != 9
+    place = lambda x: F.when(F.col("long"), step(2 * k + F.col(f"at.{x}"), level + 1)).otherwise(F.col("a1") + F.col(f"at.{x}"))
     first = whole.select(
         F.when(split & (s != 0), -F.abs("id")).otherwise(F.col("id")).alias("id"), "line", "l", "d", F.when(split, s).alias("s"),
-        place(i).alias("a1"), F.when(split, place(i + 1)).otherwise(place(j + 1)).alias("b1"),
-        F.when(split, place(j)).otherwise(none).alias("a2"), F.when(split, place(j + 1)).otherwise(none).alias("b2"),
+        place("p").alias("a1"), place("q").alias("b1"), F.when(split, place("r")).alias("a2"), F.when(split, place("w")).alias("b2"),
+        F.when(~split & F.col("long"), 2 * k + F.col("at.p")).alias("k"),
     )
+    i, j = F.col("at.i"), F.col("at.j")
     some = lambda a, b, a0, b0: (F.col(b) > F.col(a)) | (F.col(a0) == F.col(b0))
     both = cells.where("s is not null").select("id", "line", *_CELL, F.explode(two).alias("at"))
     ends = {"na1": ("a1", "b1", i), "nb1": ("a1", "b1", i + 1), "na2": ("a2", "b2", j), "nb2": ("a2", "b2", j + 1)}
     ends = {c: cut(*x, HALVES) for c, x in ends.items()}
     second = both.withColumns(ends).where(some("na1", "nb1", "a1", "b1") & some("na2", "nb2", "a2", "b2"))
-    last = lambda a, b, x: (F.col(a) < F.col(b)) | (x == HALVES - 1)
-    second = second.where(last("a1", "b1", i) & last("a2", "b2", j)).select(
-        "id", "line", "l", "d", "s", *[F.col(f"n{c}").alias(c) for c in ("a1", "b1", "a2", "b2")]
+    end = lambda a, b, x: (F.col(a) < F.col(b)) | (x == HALVES - 1)
+    second = second.where(end("a1", "b1", i) & end("a2", "b2", j)).select(
+        "id", "line", "l", "d", "s", *[F.col(f"n{c}").alias(c) for c in ("a1", "b1", "a2", "b2")], "k"
     )
     cells = first.unionByName(second)
     # what lies outside of the intervals, and inside; places are counted on the indexed line
@@ -274,8 +288,8 @@ def _finer(cells: DataFrame, edits: int) -> DataFrame:
 def _crowded_pairs(crowded: DataFrame, edits: int) -> DataFrame:
     """Pairs among ``crowded(id, d, line, n)`` that may link, by ever finer cells; a level with no crowd ends it."""
     cells, found = _cells(crowded), None
-    while True:
-        level = materialise(_met(lambda c: _finer(c, edits), cells, "c1", "c2"), "line-cells")
+    for t in count(1):
+        level = materialise(_met(lambda c, t=t: _finer(c, edits, t), cells, "c1", "c2"), "line-cells")
         done = (F.col("crowd") <= CROWD) | ((F.col("b1") - F.col("a1") <= 1) & F.coalesce(F.col("b2") - F.col("a2") <= 1, F.lit(True)))
         pairs = _pairs(level.where(done).select("key", "id"))
         found = pairs if found is None else found.union(pairs)
