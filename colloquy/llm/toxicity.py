@@ -25,6 +25,8 @@ SAMPLE_PER_CLASS = 6_000
 LEXICON = 2_000
 STEMS = (4, 5, 6)
 NEAR = 6
+#: Terms that are passed on at once.
+PASSED = 32_768
 
 # Common insults, second-person words, look-alike characters.
 INSULTS = frozenset(
@@ -213,25 +215,36 @@ def _cover(doc: np.ndarray, term: np.ndarray, odds: np.ndarray, least: float) ->
     return picked
 
 
+def term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc, term, y`` of ``doc_id, text, y``; passed on after each text that fills ``PASSED`` rows, so memory does not
+    grow with a batch."""
+
+    def told(held: list[tuple]) -> pa.RecordBatch:
+        sizes = [len(terms) for _, terms, _ in held]
+        doc, y = (np.repeat(np.array([h[i] for h in held], kind), sizes) for i, kind in ((0, np.int64), (2, np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array([t for _, terms, _ in held for t in terms], pa.string()), pa.array(y)], names=["doc", "term", "y"])
+
+    held, size = [], 0
+    for batch in batches:
+        for doc, text, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            words = {normal(w) for w in set(_WORD.findall(text))} - {""}
+            terms = {w for w in words if len(w) <= 40} | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
+            held.append((doc, sorted(terms), y))
+            size += len(terms)
+            if size >= PASSED:
+                yield told(held)
+                held, size = [], 0
+    if held:
+        yield told(held)
+
+
 def learn_lexicon(texts: DataFrame, entries: int = LEXICON) -> dict[str, float]:
     """``texts(doc_id, text, y)`` of a bounded sample -> entries with their log odds; stems end in ``*``.
 
     The candidates are at most ``entries`` terms, each in as many documents of the sample as it may be.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, text, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = {normal(w) for w in set(_WORD.findall(text))} - {""}
-                terms = {w for w in words if len(w) <= 40} | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
-                out += [(doc, t, y) for t in sorted(terms)]
-            types = (pa.int64(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, types, strict=True)], names=["doc", "term", "y"]
-            )
-
-    seen = materialise(texts.select("doc_id", "text", "y").mapInArrow(run, "doc long, term string, y int").distinct(), "toxic-terms")
+    seen = materialise(texts.select("doc_id", "text", "y").mapInArrow(term_batches, "doc long, term string, y int").distinct(), "toxic-terms")
     size = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.countDistinct("doc_id").alias("n")).collect()}
     t, n = size.get(1, 0), size.get(0, 0)
     if not t or not n:

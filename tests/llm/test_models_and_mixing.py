@@ -280,3 +280,16 @@ def test_neighbours_of_few_rows(spark):
     assert neighbours.search(spark.createDataFrame([], form), F.col("id") >= 0).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], form)
     assert [(x.rank, x.vec_id) for x in neighbours.search(few, F.col("id") == 0).orderBy("rank").collect()] == [(1, 2), (2, 1)]
+
+
+def test_terms_of_a_batch_are_passed_on_in_parts():
+    import pyarrow as pa
+    from colloquy.llm import toxicity
+
+    texts = [" ".join(f"word{d}x{i}" for i in range(4_000)) for d in range(20)] + [""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(21)), pa.array(texts), pa.array([d % 2 for d in range(21)], pa.int32())], names=["doc_id", "text", "y"])
+    parts = list(toxicity.term_batches(iter([batch])))
+    assert max(p.num_rows for p in parts) < toxicity.PASSED + 4 * 4_000 and len(parts) > 1
+    rows = [row for p in parts for row in zip(*(c.to_pylist() for c in p.columns))]
+    want = {(d, t, d % 2) for d in range(20) for w in map(toxicity.normal, texts[d].split()) for t in (w, w[:4] + "*", w[:5] + "*", w[:6] + "*")}
+    assert len(rows) == len(want) and set(rows) == want
