@@ -6,10 +6,11 @@ fingerprints that grows with the corpus. So further candidates come from ``BANDS
 texts at 0.8 share none with a probability of 5e-8. Every link is verified on the whole texts.
 
 Equal texts are one from the start. Members of a bucket are ordered by further minhashes and linked to the one before, which
-joins large families without listing their pairs. Then all pairs of a bucket that are not connected yet are verified. A
-bucket of more than ``CROWD`` is dealt anew by all other bands first, again and again, up to ``DEPTH`` bands that must all
-be shared; buckets whose members are connected already need no more work. What is crowded beyond that shares so many
-minhashes that its members are near copies of each other, and their links in order join them.
+joins large families without listing their pairs. Then all pairs of a bucket that are not connected yet are verified;
+buckets whose members are connected already need no more work. In buckets of more than ``CROWD`` the pairs are found by their
+shingles instead, exactly: of two texts at 0.8, the fifth of the shingles that comes first in any order of all shingles has one in
+common (prefix filter), and enough shingles are left behind it (positional filter). Shingles that no two components
+share come first and the rare ones next, so few texts meet.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from .simhash import links as simhash_links
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 32, 4
-CROWD, DEPTH = 16, 4
+CROWD = 16
 #: Pairs that agree in fewer minhashes are not verified: at 0.8, that is less than one in 10**13.
 LIKELY = BANDS * ROWS // 2
 BLOCK = 1024
+#: Shingles that are passed on at once.
+PASSED = 65_536
 _A, _B = np.random.default_rng(42).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -126,6 +129,56 @@ def _open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.distinct().join(root("u"), "u", "left").join(root("v"), "v", "left").where(apart).select("u", "v")
 
 
+def _mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, mark, root, crowd`` of the buckets whose members are not all connected."""
+    by = W.partitionBy("key")
+    rooted = met.join(roots.withColumnRenamed("u", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    sums = {"crowd": F.count("*"), "low": F.min("root"), "high": F.max("root")}
+    return rooted.withColumns({c: f.over(by) for c, f in sums.items()}).where("low <> high").select("key", "mark", "root", "crowd")
+
+
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """``mark, root, n, s``: a row for each of the ``n`` shingles of ``texts(mark, root, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: list[tuple]) -> pa.RecordBatch:
+            sizes = [len(h) for _, _, h in held]
+            each = lambda x: np.repeat(np.array(x, np.int64), sizes)
+            columns = (*(each(x) for x in zip(*[h[:2] for h in held], strict=True)), each(sizes), np.concatenate([h[2] for h in held]).view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["mark", "root", "n", "s"])
+
+        held, size = [], 0
+        for batch in batches:
+            for mark, root, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                held.append((mark, root, shingles(_words(text))))
+                size += len(held[-1][2])
+                if size >= PASSED:
+                    yield told(held)
+                    held, size = [], 0
+        if held:
+            yield told(held)
+
+    return texts.select("mark", "root", "text").mapInArrow(run, "mark long, root long, n long, s long")
+
+
+def _crowd_pairs(crowd: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """Of ``crowd(mark, root)``, all pairs ``u, v`` of different roots that can be alike by their shingles."""
+    rows = materialise(_shingle_rows(members.select("mark", "text").join(crowd, "mark")), "near-shingles")
+    sums = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+    common = rows.join(sums.where("low <> high").select("s", "df"), "s")
+    own = W.partitionBy("mark")
+    # those that no two roots share stand before the common ones
+    placed = common.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "s")))
+    ahead = placed.where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
+    keys = materialise(ahead.select("s", "root", "mark", "n", (F.col("n") - F.col("place") + 1).alias("left")), "near-ahead")
+    side = lambda c: keys.select("s", *[F.col(x).alias(f"{x}_{c}") for x in ("root", "mark", "n", "left")])
+    root = lambda c: keys.select("s", F.col("root").alias(f"root_{c}")).distinct()
+    roots = root("u").join(root("v"), "s").where("root_u > root_v")  # members of one root never meet
+    met = side("u").join(roots, ["s", "root_u"]).join(side("v"), ["s", "root_v"])
+    enough = F.least("left_u", "left_v") >= least / (1 + least) * (F.col("n_u") + F.col("n_v")) - 1e-6
+    return met.where(enough).select(*_pair("mark_u", "mark_v")).distinct()
+
+
 def links(docs: DataFrame, rows: DataFrame, least: float = LEAST) -> DataFrame:
     """Links ``u, v`` between marks that connect the texts at ``least`` or more."""
     band = lambda b: F.slice("sig", b * ROWS + 1, ROWS)
@@ -141,24 +194,17 @@ def links(docs: DataFrame, rows: DataFrame, least: float = LEAST) -> DataFrame:
     order = F.slice(F.concat("sig", "sig"), (F.col("band") + 1) * ROWS + 1, 4 * ROWS)
     ranked = met.join(members.select("mark", "sig"), "mark").select("key", "mark", order.alias("order"))
     chain = ranked.withColumn("before", F.lag("mark").over(by.orderBy("order", "mark"))).where("before is not null")
-    first = materialise(_verified(chain.select(*_pair("mark", "before")).union(close).distinct(), members, least), "near-links")
-    found, level, depth = first, met.withColumn("bands", F.array("band")).select("key", "mark", "bands"), 1
-    while True:
-        roots = materialise(connected_components(found), "near-roots")
-        rooted = level.join(roots.withColumnRenamed("u", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-        sums = {"crowd": F.count("*"), "low": F.min("root"), "high": F.max("root")}
-        mixed = rooted.withColumns({c: f.over(by) for c, f in sums.items()}).where("low <> high").select("key", "mark", "bands", "crowd")
-        mixed = materialise(mixed, "near-mixed")
-        some = mixed.where(F.col("crowd") <= CROWD).select("key", F.col("mark").alias("u"))
-        every = some.join(some.withColumnRenamed("u", "v"), "key").where("v < u").select("u", "v")
-        found = found.union(materialise(_verified(_open(every, roots), members, least), "near-links"))
-        crowded = mixed.where(F.col("crowd") > CROWD)
-        if depth == DEPTH or crowded.isEmpty():
-            return found
-        finer = [F.when(~F.array_contains("bands", b), F.struct(F.xxhash64("key", F.lit(b), band(b)).alias("key"), F.lit(b).alias("band"))) for b in range(BANDS)]
-        dealt = crowded.drop("crowd").join(members.select("mark", "sig"), "mark").select("mark", "bands", F.explode(F.array_compact(F.array(*finer))).alias("at"))
-        level = materialise(dealt.select("at.key", "mark", F.array_append("bands", F.col("at.band")).alias("bands")), "near-finer")
-        depth += 1
+    found = materialise(_verified(chain.select(*_pair("mark", "before")).union(close).distinct(), members, least), "near-links")
+    roots = materialise(connected_components(found), "near-roots")
+    mixed = materialise(_mixed(met, roots), "near-mixed")
+    some = mixed.where(F.col("crowd") <= CROWD).select("key", F.col("mark").alias("u"))
+    every = some.join(some.withColumnRenamed("u", "v"), "key").where("v < u").select("u", "v")
+    found = found.union(materialise(_verified(_open(every, roots), members, least), "near-links"))
+    crowded = mixed.where(F.col("crowd") > CROWD).select("key", "mark")
+    if crowded.isEmpty():
+        return found
+    still = _mixed(crowded, materialise(connected_components(found), "near-roots")).select("mark", "root").distinct()
+    return found.union(materialise(_verified(_crowd_pairs(materialise(still, "near-crowd"), members, least), members, least), "near-links"))
 
 
 def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -36,3 +36,25 @@ def test_stage_keeps_one_of_each_near_copy(spark, docs_of):
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, want))
     assert len(want) < len(rows) - 20
     assert near_copies.one_of_each(docs_of([])).count() == 0
+
+
+def test_crowds_lose_no_pair(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(near_copies, "CROWD", 1)
+    monkeypatch.setattr(near_copies, "DEPTH", 1, raising=False)  # where the code before stopped
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    passage = [word() for _ in range(300)]  # 200 texts at 296 / 372, which share most bands; twelve pairs of them at 297 / 371
+    own = [[word() for _ in range(38)] for _ in range(200)]
+    for i in range(12):
+        own[100 + i][0] = own[i][0]
+    rows = [(i, " ".join(passage + x)) for i, x in enumerate(own)]
+    found = near_copies.near_copies(docs_of(rows)).collect()
+    assert {x.doc_id: x.component_id for x in found} == {i: i - 100 if 100 <= i < 112 else i for i in range(200)}
+
+
+def test_large_crowds_of_two_roots(spark, docs_of):
+    """Pairs that only the shingles of a crowd tell: two large families, held together by one text between them."""
+    rows = [(1, 1, "a b c d e f g h i j k l"), (2, 1, "a b c d e f g h i j k m"), (3, 2, "a b c d e f g h i j k l n"), (4, 3, "p q r s t u v")]
+    crowd = spark.createDataFrame([(m, root) for m, root, _ in rows], "mark long, root long")
+    members = spark.createDataFrame([(m, t) for m, _, t in rows], "mark long, text string")
+    assert [tuple(x) for x in near_copies._crowd_pairs(crowd, members, 0.8).collect()] == [(3, 1)]
