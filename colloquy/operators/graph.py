@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,6 +98,69 @@ def interactions(sent: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("weight"))
 
 
+#: Senders of a block at most and at least, rows of its packed form, and rows of a block that are told at once.
+SIDE, LEAST_SIDE, PACKED, TILE = 8_192, 256, 1_000_000, 128
+
+
+def _tiles() -> Callable:
+    # made inside, so that workers get it whole
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``a, b, weight`` of cells: two packed blocks of senders each, sums kept for ``TILE`` senders of the first at a time."""
+        for batch in batches:
+            for at in range(batch.num_rows):
+                cell = {n: batch.column(n)[at] for n in batch.schema.names}
+                same = cell["i"].as_py() == cell["j"].as_py()
+                sides = []
+                for x in "uv":
+                    who, where, weight = (cell[f"{c}_{x}"].values.to_numpy(zero_copy_only=False) for c in ("who", "cluster", "weight"))
+                    by = np.argsort(where, kind="stable")
+                    known, first = np.unique(where[by], return_index=True)
+                    parts = zip(np.split(who[by], first[1:]), np.split(weight[by], first[1:]), strict=True)
+                    sides.append((cell[f"names_{x}"].values, dict(zip(known.tolist(), parts, strict=True))))
+                (names_u, of_u), (names_v, of_v) = sides
+                both = [(*of_u[c], *of_v[c]) for c in of_u if c in of_v]
+                for low in range(0, len(names_u), TILE):
+                    sums = np.zeros((min(TILE, len(names_u) - low), len(names_v)), np.int64)
+                    for who_u, weight_u, who_v, weight_v in both:
+                        own = np.flatnonzero((who_u >= low) & (who_u < low + TILE))
+                        if len(own):
+                            sums[np.ix_(who_u[own] - low, who_v)] += np.minimum(weight_u[own, None], weight_v[None])
+                    if same:
+                        sums = np.triu(sums, low + 1)
+                    a, b = np.nonzero(sums)
+                    if len(a):
+                        told = [names_u.take(pa.array(a + low)), names_v.take(pa.array(b)), pa.array(sums[a, b])]
+                        yield pa.RecordBatch.from_arrays(told, names=["a", "b", "weight"])
+
+    return tiles
+
+
+def blocked_interactions(sent: DataFrame, side: int) -> DataFrame:
+    """As ``interactions``: senders are numbered in order and cut into blocks of ``side``, and each pair of blocks adds up its
+    pairs in a matrix, so pairs are neither shuffled nor listed by cluster."""
+    known = sent.where("sender is not null")
+    numbered = ordinals(known.select("sender").distinct(), "no", F.col("sender")).select("sender", F.floor(F.col("no") / side).alias("i"), (F.col("no") % side).cast("int").alias("who"))
+    names = numbered.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("who", "sender"))), lambda x: x["sender"]).alias("names"))
+    rows = known.groupBy("cluster_no", "sender").agg(F.sum("weight").alias("weight")).join(numbered, "sender")
+    packed = rows.groupBy("i").agg(F.collect_list(F.struct("who", F.col("cluster_no").alias("cluster"), "weight")).alias("l"))
+    packed = cut(packed.join(names, "i").select("i", "names", "l.who", "l.cluster", "l.weight"))
+    one = packed.select("i")
+    cells = one.join(one.select(F.col("i").alias("j")), F.col("i") <= F.col("j"))
+    packs = lambda n, x: packed.select(F.col("i").alias(n), *[F.col(c).alias(f"{c}_{x}") for c in ("names", "who", "cluster", "weight")])
+    met = cells.join(packs("i", "u").hint("shuffle_hash"), "i").join(packs("j", "v").hint("shuffle_hash"), "j")
+    n = max(1, packed.count())
+    return met.repartition(n * (n + 1) // 2, "i", "j").mapInArrow(_tiles(), "a string, b string, weight long")
+
+
+def all_interactions(sent: DataFrame) -> DataFrame:
+    """``interactions`` of a written table, by blocks where most senders meet, else by the join of clusters."""
+    sizes = sent.where("sender is not null").groupBy("cluster_id").agg(F.count("*").alias("n"))
+    rows, pairs = sizes.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n") / 2)).first()
+    senders = sent.agg(F.count_distinct("sender")).first()[0]
+    side = min(SIDE, PACKED * senders // (rows or 1), -(-senders // 3))
+    return blocked_interactions(sent, side) if side >= LEAST_SIDE and 8 * pairs >= senders**2 else interactions(sent)
+
+
 def entity_nodes(top: DataFrame) -> DataFrame:
     first = F.struct("start_ts", "cluster_no", "rank")
     found = top.groupBy("name").agg(F.sum("frequency").alias("global_frequency"), F.min_by("entity_type", first).alias("entity_type"), F.min(first).alias("f"))
@@ -121,8 +187,15 @@ def co_occurrence_edges(top: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def edge_tables(clusters: DataFrame, channels: DataFrame, sent: DataFrame, top: DataFrame) -> dict[str, DataFrame]:
-    """``src, dst, type, weight`` by edge type."""
+def interaction_edges(pairs: DataFrame) -> DataFrame:
+    ends = [F.concat(F.lit("person:"), x).alias(n) for x, n in (("a", "src"), ("b", "dst"))]
+    return pairs.select(*ends, F.lit("INTERACTS").alias("type"), "weight")
+
+
+def edge_tables(
+    clusters: DataFrame, channels: DataFrame, sent: DataFrame, top: DataFrame, pairs: Callable[[DataFrame], DataFrame] = interactions
+) -> dict[str, DataFrame]:
+    """``src, dst, type, weight`` by edge type; ``pairs`` tells the interactions."""
     listed = channels.select(F.col("name").alias("channel")).distinct()
     person, channel = (F.concat(F.lit(f"{k}:"), c) for k, c in (("person", "sender"), ("channel", "channel")))
     contains = clusters.join(listed, "channel").select(channel.alias("src"), F.col("cluster_id").alias("dst"), F.lit("CONTAINS").alias("type"), F.lit(1.0).alias("weight"))
@@ -133,9 +206,7 @@ def edge_tables(clusters: DataFrame, channels: DataFrame, sent: DataFrame, top:
         "MENTIONS": mention_edges(top),
         "CO_OCCURS": co_occurrence_edges(top),
         "PARTICIPATES": takes_part.select(person.alias("src"), channel.alias("dst"), F.lit("PARTICIPATES").alias("type"), "weight"),
-        "INTERACTS": interactions(sent).select(
-            F.concat(F.lit("person:"), "a").alias("src"), F.concat(F.lit("person:"), "b").alias("dst"), F.lit("INTERACTS").alias("type"), "weight"
-        ),
+        "INTERACTS": interaction_edges(pairs(sent)),
     }
 
 
@@ -146,9 +217,8 @@ def ranked_entities(clusters: DataFrame, messages: DataFrame, people: DataFrame,
     return top.join(clusters.select("cluster_id", "start_ts", "cluster_no"), "cluster_id")
 
 
-def build_graph(messages: DataFrame, channels: DataFrame, people: DataFrame, meta: dict | None = None, fold: bool = True) -> Graph:
-    """The whole graph of a message table. Stages that several tables share are written once."""
-    spark = messages.sparkSession
+def node_table(messages: DataFrame, channels: DataFrame, people: DataFrame, fold: bool = True) -> tuple[DataFrame, tuple]:
+    """The nodes of a message table, and what ``edge_tables`` takes. Stages that several tables share are written once."""
     clusters, placed = sessionise(messages)
     clusters, placed = cut(clusters), cut(placed)
     sent = cut(sent_counts(placed))
@@ -158,13 +228,20 @@ def build_graph(messages: DataFrame, channels: DataFrame, people: DataFrame, met
     for p in parts[1:]:
         nodes = nodes.unionByName(p, allowMissingColumns=True)
     numbered = ordinals(nodes, "node_seq", F.col("o1"), F.col("o2.t"), F.col("o2.s"), F.col("type"), F.col("id"))
+    return cut(_shaped(numbered, schema.NODES)), (clusters, channels, sent, top)
+
+
+def build_graph(messages: DataFrame, channels: DataFrame, people: DataFrame, meta: dict | None = None, fold: bool = True) -> Graph:
+    """The whole graph of a message table."""
+    spark = messages.sparkSession
+    nodes, parts = node_table(messages, channels, people, fold)
     edges = None
-    for i, e in enumerate(edge_tables(clusters, channels, sent, top).values()):
+    for i, e in enumerate(edge_tables(*parts, all_interactions).values()):
         e = e.withColumn("o", F.lit(i)).withColumn("weight", F.col("weight").cast("double"))
         edges = e if edges is None else edges.unionByName(e)
     edges = ordinals(edges, "edge_seq", F.col("o"), F.col("src"), F.col("dst"), F.col("weight"))
     return Graph(
-        cut(_shaped(numbered, schema.NODES)),
+        nodes,
         cut(_shaped(edges, schema.EDGES)),
         spark.createDataFrame([], schema.ANNOTATIONS),
         spark.createDataFrame([], schema.VISITS),

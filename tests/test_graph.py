@@ -177,3 +177,18 @@ def test_merged_graph_has_the_events_of_all_channels(spark, tmp_path):
     spark.sql(events).write.parquet(f"{tmp_path}/events.parquet")
     nodes = queries.merged_nodes(spark, str(tmp_path)).where("type = 'channel'").collect()
     assert {"view", "click"} <= {r.name for r in nodes}
+
+
+def test_blocks_of_senders_add_up_as_the_join(spark):
+    from colloquy.operators import graph as G
+
+    rows = [(f"c{c}", c, f"u{u}", 1 + (u * c) % 7) for c in range(12) for u in range(60) if (u * 7 + c) % 4]
+    rows += [("c1", 1, None, 2), ("c99", 99, "alone", 3)]
+    sent = spark.createDataFrame(rows, "cluster_id string, cluster_no long, sender string, weight long")
+    want = sorted(G.interactions(sent).collect())
+    for side in (7, 1000):
+        assert sorted(G.blocked_interactions(sent, side).collect()) == want
+    assert G.all_interactions(sent).count() == len(want) and G.blocked_interactions(sent.limit(0), 7).count() == 0
+    many = spark.range(800).selectExpr("'c' AS cluster_id", "0L AS cluster_no", "concat('u', id) AS sender", "id % 3 + 1 AS weight")
+    found = G.all_interactions(many)
+    assert found.count() == 800 * 799 // 2 and "MapInArrow" in found._jdf.queryExecution().toString()
