@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import clean_name
-from .graph import Graph, _shaped
+from .graph import Graph, _shaped, all_interactions, interaction_edges
 from .iterate import cut
 
 
@@ -138,10 +138,8 @@ def person_keys(people: DataFrame) -> DataFrame:
     return win.union(left)
 
 
-def merge_graphs(target: Graph, source: Graph, ordinal: int = 2) -> tuple[Graph, dict[str, int]]:
-    """A second graph into a first. People meet by name, cleaned name, first word or id; entities by name; other ids that
-    collide get the source's ordinal. Interactions add to existing ones of the pair, other edges are appended."""
-    tn, sn = target.nodes, source.nodes
+def merge_nodes(tn: DataFrame, sn: DataFrame, ordinal: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes of two graphs, ``ids(id, new, merged)`` of the second's, and those that it adds. No edge is read."""
     keys = cut(person_keys(tn.where("type = 'person'")))
     people = sn.where("type = 'person'").select("id", "name", "aliases")
     clean = clean_name(F.col("name"))
@@ -167,6 +165,46 @@ def merge_graphs(target: Graph, source: Graph, ordinal: int = 2) -> tuple[Graph,
     new = moved.where("not merged").withColumn("id", F.col("new"))
     shift = _last(tn, "node_seq") + 1
     nodes = cut(_shaped(nodes, schema.NODES).unionByName(_shaped(new.withColumn("node_seq", F.col("node_seq") + shift), schema.NODES)))
+    return nodes, ids, new
+
+
+def merged_weights(target: DataFrame, source: dict[str, DataFrame], sent: DataFrame, ids: DataFrame) -> DataFrame:
+    """``a, b, type, weight`` of the edges that ``merge_graphs`` makes, not numbered, ends in order of their names.
+
+    ``target`` are edges, ``source`` edge tables and ``sent`` their counts. Pairs of which neither end is merged stay as they
+    are, so only the others meet those of the target.
+    """
+    person = F.concat(F.lit("person:"), "sender")
+    met = ids.where("merged and id like 'person:%'").select(F.expr("substr(id, 8)").alias("sender"))
+    plain = interaction_edges(all_interactions(cut(sent.join(met, "sender", "left_anti"))))
+    ours = sent.join(met, "sender").select("cluster_id", F.col("sender").alias("x"), F.col("weight").alias("w"))
+    mine = sent.join(met.withColumn("met", F.lit(True)), "sender", "left").join(ours, "cluster_id")
+    mine = mine.where("sender <> x and (met is null or x < sender)")  # two merged ends once
+    moved = ids.select(F.col("id").alias("src"), F.col("new").alias("s")), ids.select(F.col("id").alias("dst"), F.col("new").alias("d"))
+    ends = [F.least("s", "d").alias("p"), F.greatest("s", "d").alias("q")]
+    touched = mine.select(F.concat(F.lit("person:"), "x").alias("src"), person.alias("dst"), F.least("w", "weight").alias("w"))
+    touched = touched.groupBy("src", "dst").agg(F.sum("w").alias("w")).join(moved[0], "src").join(moved[1], "dst")
+    meets = cut(touched.groupBy(*ends).agg(F.sum("w").cast("double").alias("more")))
+    pair = [F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q")]
+    old = target.select(*pair, "type", "weight").join(meets, ["p", "q"], "left")
+    weight = F.when((F.col("type") == "INTERACTS") & F.col("more").isNotNull(), F.coalesce("weight", F.lit(0.0)) + F.col("more")).otherwise(F.col("weight"))
+    known = target.where("type = 'INTERACTS'").select(*pair).distinct()
+    told = [
+        old.select("p", "q", "type", weight),
+        meets.join(known, ["p", "q"], "left_anti").select("p", "q", F.lit("INTERACTS"), "more"),
+        plain.select(*pair, "type", F.col("weight").cast("double")),
+    ]
+    told += [e.join(moved[0], "src").join(moved[1], "dst").select(*ends, "type", F.col("weight").cast("double")) for k, e in source.items() if k != "INTERACTS"]
+    found = told[0]
+    for t in told[1:]:
+        found = found.union(t)
+    return found.toDF("a", "b", "type", "weight")
+
+
+def merge_graphs(target: Graph, source: Graph, ordinal: int = 2) -> tuple[Graph, dict[str, int]]:
+    """A second graph into a first. People meet by name, cleaned name, first word or id; entities by name; other ids that
+    collide get the source's ordinal. Interactions add to existing ones of the pair, other edges are appended."""
+    nodes, ids, new = merge_nodes(target.nodes, source.nodes, ordinal)
     a, b = ids.select(F.col("id").alias("src"), F.col("new").alias("s")), ids.select(F.col("id").alias("dst"), F.col("new").alias("d"))
     edges = cut(source.edges.join(a, "src").join(b, "dst").withColumn("src", F.col("s")).withColumn("dst", F.col("d")))
     pair = [F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q")]

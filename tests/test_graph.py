@@ -192,3 +192,17 @@ def test_blocks_of_senders_add_up_as_the_join(spark):
     many = spark.range(800).selectExpr("'c' AS cluster_id", "0L AS cluster_no", "concat('u', id) AS sender", "id % 3 + 1 AS weight")
     found = G.all_interactions(many)
     assert found.count() == 800 * 799 // 2 and "MapInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_merge_queries_build_no_numbered_edges(spark, tmp_path, monkeypatch):
+    from colloquy.plans import queries
+
+    spark.sql("SELECT 1L AS conv_id, id AS turn, if(id = 0, 'user', 'guide') AS role, 'budget report' AS text FROM range(2)").write.parquet(f"{tmp_path}/conversations.parquet")
+    events = "SELECT id AS event_id, timestamp_ntz'2024-01-01' AS ts, id AS user_id, 'view' AS event_type, 1D AS value, '{}' AS props FROM range(4)"
+    spark.sql(events).write.parquet(f"{tmp_path}/events.parquet")
+    queries.conversation_graph(spark, str(tmp_path))
+    monkeypatch.setattr(queries.G, "build_graph", None)
+    assert queries.merged_nodes(spark, str(tmp_path)).where("id = 'channel:view'").count() == 1
+    found = {(r.a, r.b): r.weight for r in queries.merged_edges(spark, str(tmp_path)).where("type = 'INTERACTS'").collect()}
+    users = [f"person:user_{i}" for i in range(4)]
+    assert found == {("person:guide_1", users[1]): 1.0} | {(a, b): 1.0 for a in users for b in users if a < b}
