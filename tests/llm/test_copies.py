@@ -1,7 +1,8 @@
 import random
 from itertools import combinations
 
-from colloquy.llm import lines, multiset, near_copies, simhash
+import pytest
+from colloquy.llm import components, lines, multiset, near_copies, simhash
 from colloquy.llm.components import connected_components
 from pyspark.sql import functions as F
 
@@ -27,6 +28,26 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 40, 100_000])
+def test_rounds_over_few_edges_exchange_nothing(spark, monkeypatch, few):
+    r = random.Random(3)
+    edges = [(r.randrange(150), r.randrange(150)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(20)] + [(300, 301 + i) for i in range(20)] + [(7, None), (8, 8)]
+    root = {x: x for e in edges for x in e if None not in e and e[0] != e[1]}
+    for _ in root:
+        for u, v in edges:
+            if u in root and v in root:
+                root[u] = root[v] = min(root[u], root[v])
+    plans, write = [], components.materialise
+    monkeypatch.setattr(components, "FEW", few, raising=False)
+    monkeypatch.setattr(components, "materialise", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, tag))
+    got = {x.u: x.root for x in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == root
+    assert len(plans) > 2
+    if few > len(edges):
+        assert not [p for p in plans[1:] if "Exchange" in p]
+
+
+
 def test_simhash_links_match_all_pairs(spark):
     r = random.Random(3)
     fps = [r.getrandbits(64) for _ in range(40)]
