@@ -161,6 +161,21 @@ def _shingle_rows(texts: DataFrame) -> DataFrame:
     return texts.select("mark", "root", "text").mapInArrow(run, "mark long, root long, n long, s long")
 
 
+def _root_pairs(keys: DataFrame, least: float) -> DataFrame:
+    """``s, root_u, root_v``: of ``keys(s, root, n, left)``, different roots with members that can be alike by what is left behind ``s``.
+
+    Two texts need ``least / (1 + least)`` of both their sizes left in either; ``spare`` is what one leaves for the other's size.
+    """
+    share = least / (1 + least)
+    spare = keys.select("s", "root", "n", (F.col("left") - share * F.col("n") + 2e-6).alias("spare"))
+    small = spare.groupBy("s").agg(F.min("n").alias("small"))
+    some = spare.join(small, "s").where(F.col("spare") >= share * F.col("small"))
+    each = some.groupBy("s", "root").agg(F.min("n").alias("low"), F.max("spare").alias("spare"))
+    side = lambda c: each.select("s", *[F.col(x).alias(f"{x}_{c}") for x in ("root", "low", "spare")])
+    enough = (F.col("spare_u") >= share * F.col("low_v")) & (F.col("spare_v") >= share * F.col("low_u"))
+    return side("u").join(side("v"), "s").where((F.col("root_u") > F.col("root_v")) & enough).select("s", "root_u", "root_v")
+
+
 def _crowd_pairs(crowd: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """Of ``crowd(mark, root)``, all pairs ``u, v`` of different roots that can be alike by their shingles."""
     rows = materialise(_shingle_rows(members.select("mark", "text").join(crowd, "mark")), "near-shingles")
@@ -172,8 +187,7 @@ def _crowd_pairs(crowd: DataFrame, members: DataFrame, least: float) -> DataFram
     ahead = placed.where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
     keys = materialise(ahead.select("s", "root", "mark", "n", (F.col("n") - F.col("place") + 1).alias("left")), "near-ahead")
     side = lambda c: keys.select("s", *[F.col(x).alias(f"{x}_{c}") for x in ("root", "mark", "n", "left")])
-    root = lambda c: keys.select("s", F.col("root").alias(f"root_{c}")).distinct()
-    roots = root("u").join(root("v"), "s").where("root_u > root_v")  # members of one root never meet
+    roots = _root_pairs(keys, least)  # members of one root never meet
     met = side("u").join(roots, ["s", "root_u"]).join(side("v"), ["s", "root_v"])
     enough = F.least("left_u", "left_v") >= least / (1 + least) * (F.col("n_u") + F.col("n_v")) - 1e-6
     return met.where(enough).select(*_pair("mark_u", "mark_v")).distinct()

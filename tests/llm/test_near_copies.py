@@ -58,3 +58,10 @@ def test_large_crowds_of_two_roots(spark, docs_of):
     crowd = spark.createDataFrame([(m, root) for m, root, _ in rows], "mark long, root long")
     members = spark.createDataFrame([(m, t) for m, _, t in rows], "mark long, text string")
     assert [tuple(x) for x in near_copies._crowd_pairs(crowd, members, 0.8).collect()] == [(3, 1)]
+
+
+def test_roots_of_a_crowd_meet_only_where_enough_is_left(spark):
+    """A hundred roots share the first shingle of a passage that is too short for any pair, but for two at 90 of 100."""
+    keys = [(1, i, i, 100, 85) for i in range(100)] + [(1, 200, 200, 100, 90), (1, 201, 201, 100, 90), (1, 202, 202, 100, 88), (2, 300, 300, 10, 10), (2, 300, 301, 10, 10), (2, 302, 302, 9, 9)]
+    rows = spark.createDataFrame(keys, "s long, root long, mark long, n long, left long")
+    assert sorted(tuple(x) for x in near_copies._root_pairs(rows, 0.8).collect()) == [(1, 201, 200), (2, 302, 300)]
