@@ -63,7 +63,7 @@ def clusters(assigned: DataFrame) -> DataFrame:
     found = by_sender.groupBy(*KEYS).agg(
         F.min("first.ts").alias("start_ts"),
         F.max("last").alias("end_ts"),
-        F.transform(F.array_sort(F.collect_list(F.struct("first", "sender"))), lambda x: x["sender"]).alias("participants"),
+        F.sort_array(F.collect_list(F.struct("first", "sender"))).getField("sender").alias("participants"),
         F.count("*").alias("participant_count"),
         F.sum("n").alias("message_count"),
         F.min("seq").alias("first_seq"),
@@ -84,7 +84,12 @@ def sessionise(messages: DataFrame, gap_seconds: int = GAP_SECONDS) -> tuple[Dat
     """``(clusters, messages with cluster_id)``."""
     assigned = assign(messages, gap_seconds)
     found = clusters(assigned)
+    return found, placed_in(assigned, found)
+
+
+def placed_in(assigned: DataFrame, found: DataFrame) -> DataFrame:
+    """Assigned messages with ``cluster_id, cluster_no, start_ts`` of their cluster."""
     keys = found.select("cluster_id", "cluster_no", "start_ts", *[F.col(k).alias(f"_{k}") for k in KEYS])
     same = (F.col("channel") == F.col("_channel")) & (F.col("kind") == F.col("_kind"))
     same &= F.col("gap_no").eqNullSafe(F.col("_gap_no")) & F.col("thread_id").eqNullSafe(F.col("_thread_id"))
-    return found, assigned.join(keys, same).drop(*[f"_{k}" for k in KEYS])
+    return assigned.join(keys, same).drop(*[f"_{k}" for k in KEYS])

@@ -12,7 +12,8 @@ from ..functions.text import clean_name, special_entities, tokenize
 
 def cluster_tokens(messages: DataFrame, strict_hex_filter: bool = True) -> DataFrame:
     """``cluster_id, pos, token``; ``pos`` orders a cluster's tokens over its messages."""
-    words = messages.select(
+    # a cheap look first: what is taken out of a text before its words are found leaves none of three characters that it had not
+    words = messages.where(F.lower("text").rlike("[a-z0-9'-]{3}")).select(
         "cluster_id", "ts", "seq", F.posexplode(tokenize(F.col("text"), strict_hex_filter)).alias("i", "token")
     )
     return words.select("cluster_id", F.struct("ts", "seq", "i").alias("pos"), "token")
@@ -91,7 +92,8 @@ def entities(messages: DataFrame, people: DataFrame | None = None, strict_hex_fi
     placed = terms.select("cluster_id", "name", "frequency", F.row_number().over(order).cast("long").alias("place"))
     if fold:
         placed = placed.groupBy("cluster_id").applyInPandas(_fold, "cluster_id string, name string, frequency long, place long")
-    found = messages.select("cluster_id", "ts", "seq", F.posexplode(special_entities(F.col("text"))).alias("i", "e"))
+    signs = F.col("text").contains("://") | F.col("text").rlike("[@#]")
+    found = messages.where(signs).select("cluster_id", "ts", "seq", F.posexplode(special_entities(F.col("text"))).alias("i", "e"))
     special = found.groupBy("cluster_id", F.col("e.type").alias("entity_type"), F.col("e.value").alias("name")).agg(
         F.count("*").alias("frequency"), F.min(F.struct("ts", "seq", "i")).alias("pos")
     )

@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema
-from .cluster import sessionise
+from .cluster import assign, placed_in
+from .cluster import clusters as found_clusters
 from .entities import entities, tfidf, top_entities
 from .iterate import cut
 
@@ -98,46 +99,89 @@ def interactions(sent: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("weight"))
 
 
-#: Senders of a block at most and at least, rows of its packed form, and rows of a block that are told at once.
-SIDE, LEAST_SIDE, PACKED, TILE = 8_192, 256, 1_000_000, 128
+#: Senders of a block at most and at least, rows of its packed form, senders of a block whose sums are kept at once, columns
+#: of one matrix product, how many sums of a product cost as much as one that is looked up, and rows and columns of a part.
+SIDE, LEAST_SIDE, PACKED, TILE, COLUMNS, CHEAP, PART = 4_096, 256, 1_000_000, 512, 1_024, 300, (16, 512)
 
 
 def _tiles() -> Callable:
     # made inside, so that workers get it whole
+    def clusters_of(cell: dict, x: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """``who, weight`` of a packed block by cluster, in order of ``who``."""
+        who, where, weight = (cell[f"{c}_{x}"].values.to_numpy(zero_copy_only=False) for c in ("who", "cluster", "weight"))
+        by = np.lexsort((who, where))
+        known, first = np.unique(where[by], return_index=True)
+        return dict(zip(known.tolist(), zip(np.split(who[by], first[1:]), np.split(weight[by], first[1:]), strict=True), strict=True))
+
+    def dealt(of_u: dict, of_v: dict, area: int) -> tuple[list, list]:
+        """Clusters that are added up one by one, and columns ``step, u, v`` of the others: the smaller of two weights is the
+        sum of the steps between weights that both reach, so the sums of these are a product of two matrices."""
+        few, columns = [], []
+        for c in of_u.keys() & of_v.keys():
+            (who_u, weight_u), (who_v, weight_v) = of_u[c], of_v[c]
+            met = len(who_u) * len(who_v) * CHEAP
+            levels = np.unique(np.minimum(np.concatenate([weight_u, weight_v]), min(weight_u.max(), weight_v.max()))) if met >= area else ()
+            if len(levels) and met >= area * len(levels):
+                columns += [(step, who_u[weight_u >= least], who_v[weight_v >= least]) for step, least in zip(np.diff(levels, prepend=0), levels, strict=True)]
+            else:
+                few.append((who_u, weight_u, who_v, weight_v))
+        return few, columns
+
+    def parts(sums: np.ndarray, low: int, names_u: pa.Array, names_v: pa.Array) -> pa.RecordBatch:
+        """The parts of ``sums`` that are not all 0, with the names of their rows and columns."""
+        high, wide = PART[0], min(PART[1], len(names_v))
+        cells = sums.reshape(len(sums) // high, high, sums.shape[1] // wide, wide).transpose(0, 2, 1, 3)
+        r, c = np.nonzero(cells.any(axis=(2, 3)))
+        lists = lambda flat, n: pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1) * n, pa.int32()), flat)
+        named = lambda names, first, n: lists(names.take(pa.array(np.minimum(first[:, None] + np.arange(n), len(names) - 1).ravel())), n)
+        told = [named(names_u, low + r * high, high), named(names_v, c * wide, wide), lists(pa.array(cells[r, c].ravel()), high * wide)]
+        return pa.RecordBatch.from_arrays(told, names=["us", "vs", "sums"])
+
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``a, b, weight`` of cells: two packed blocks of senders each, sums kept for ``TILE`` senders of the first at a time."""
+        """``us, vs, sums`` of cells: two packed blocks of senders each, sums kept for ``TILE`` senders of the first at a time."""
         for batch in batches:
             for at in range(batch.num_rows):
                 cell = {n: batch.column(n)[at] for n in batch.schema.names}
-                same = cell["i"].as_py() == cell["j"].as_py()
-                sides = []
-                for x in "uv":
-                    who, where, weight = (cell[f"{c}_{x}"].values.to_numpy(zero_copy_only=False) for c in ("who", "cluster", "weight"))
-                    by = np.argsort(where, kind="stable")
-                    known, first = np.unique(where[by], return_index=True)
-                    parts = zip(np.split(who[by], first[1:]), np.split(weight[by], first[1:]), strict=True)
-                    sides.append((cell[f"names_{x}"].values, dict(zip(known.tolist(), parts, strict=True))))
-                (names_u, of_u), (names_v, of_v) = sides
-                both = [(*of_u[c], *of_v[c]) for c in of_u if c in of_v]
+                names_u, names_v = cell["names_u"].values, cell["names_v"].values
+                n, wide = len(names_v), min(PART[1], len(names_v))
+                few, columns = dealt(clusters_of(cell, "u"), clusters_of(cell, "v"), len(names_u) * n)
+                most = np.bincount(cell["who_u"].values.to_numpy(zero_copy_only=False), cell["weight_u"].values.to_numpy(zero_copy_only=False)).max()
+                exact = np.float32 if most < 1 << 24 else np.float64
+                held = {}
                 for low in range(0, len(names_u), TILE):
-                    sums = np.zeros((min(TILE, len(names_u) - low), len(names_v)), np.int64)
-                    for who_u, weight_u, who_v, weight_v in both:
-                        own = np.flatnonzero((who_u >= low) & (who_u < low + TILE))
-                        if len(own):
+                    rows = min(TILE, len(names_u) - low)
+                    sums = np.zeros((-(-rows // PART[0]) * PART[0], -(-n // wide) * wide), np.int64)
+                    for k in range(0, len(columns), COLUMNS):
+                        some = columns[k : k + COLUMNS]
+                        left = np.zeros((rows, len(some)), exact)
+                        for i, (step, who, _) in enumerate(some):
+                            own = who[slice(*np.searchsorted(who, (low, low + rows)))]
+                            left[own - low, i] = step
+                        right = held.get(k)
+                        if right is None:
+                            right = np.zeros((len(some), n), exact)
+                            for i, (_, _, who) in enumerate(some):
+                                right[i, who] = 1
+                            if k < 4 * COLUMNS:
+                                held[k] = right
+                        sums[:rows, :n] += (left @ right).astype(np.int64)
+                    for who_u, weight_u, who_v, weight_v in few:
+                        own = slice(*np.searchsorted(who_u, (low, low + rows)))
+                        if own.start < own.stop:
                             sums[np.ix_(who_u[own] - low, who_v)] += np.minimum(weight_u[own, None], weight_v[None])
-                    if same:
+                    if cell["i"].as_py() == cell["j"].as_py():
                         sums = np.triu(sums, low + 1)
-                    a, b = np.nonzero(sums)
-                    if len(a):
-                        told = [names_u.take(pa.array(a + low)), names_v.take(pa.array(b)), pa.array(sums[a, b])]
-                        yield pa.RecordBatch.from_arrays(told, names=["a", "b", "weight"])
+                    told = parts(sums, low, names_u, names_v)
+                    if told.num_rows:
+                        yield told
 
     return tiles
 
 
 def blocked_interactions(sent: DataFrame, side: int) -> DataFrame:
     """As ``interactions``: senders are numbered in order and cut into blocks of ``side``, and each pair of blocks adds up its
-    pairs in a matrix, so pairs are neither shuffled nor listed by cluster."""
+    pairs in a matrix, so pairs are neither shuffled nor listed by cluster. Workers pass parts of the matrix on with the names
+    of its sides, and only here they become rows."""
     known = sent.where("sender is not null")
     numbered = ordinals(known.select("sender").distinct(), "no", F.col("sender")).select("sender", F.floor(F.col("no") / side).alias("i"), (F.col("no") % side).cast("int").alias("who"))
     names = numbered.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("who", "sender"))), lambda x: x["sender"]).alias("names"))
@@ -149,7 +193,9 @@ def blocked_interactions(sent: DataFrame, side: int) -> DataFrame:
     packs = lambda n, x: packed.select(F.col("i").alias(n), *[F.col(c).alias(f"{c}_{x}") for c in ("names", "who", "cluster", "weight")])
     met = cells.join(packs("i", "u").hint("shuffle_hash"), "i").join(packs("j", "v").hint("shuffle_hash"), "j")
     n = max(1, packed.count())
-    return met.repartition(n * (n + 1) // 2, "i", "j").mapInArrow(_tiles(), "a string, b string, weight long")
+    told = met.repartition(n * (n + 1) // 2, "i", "j").mapInArrow(_tiles(), "us array<string>, vs array<string>, sums array<long>")
+    pairs = told.select("us", "vs", F.posexplode("sums").alias("at", "weight")).where("weight > 0")
+    return pairs.selectExpr("get(us, int(at div size(vs))) AS a", "get(vs, at % size(vs)) AS b", "weight")
 
 
 def all_interactions(sent: DataFrame) -> DataFrame:
@@ -217,24 +263,39 @@ def ranked_entities(clusters: DataFrame, messages: DataFrame, people: DataFrame,
     return top.join(clusters.select("cluster_id", "start_ts", "cluster_no"), "cluster_id")
 
 
-def node_table(messages: DataFrame, channels: DataFrame, people: DataFrame, fold: bool = True) -> tuple[DataFrame, tuple]:
-    """The nodes of a message table, and what ``edge_tables`` takes. Stages that several tables share are written once."""
-    clusters, placed = sessionise(messages)
-    clusters, placed = cut(clusters), cut(placed)
+def edge_parts(messages: DataFrame, channels: DataFrame, people: DataFrame, fold: bool = True) -> tuple[DataFrame, tuple]:
+    """The messages of a table in their clusters, and what ``edge_tables`` takes. What several tables share is written once."""
+    assigned = cut(assign(messages))
+    clusters = cut(found_clusters(assigned))
+    placed = cut(placed_in(assigned, clusters))
     sent = cut(sent_counts(placed))
-    top = cut(ranked_entities(clusters, placed, people, fold))
+    return placed, (clusters, channels, sent, cut(ranked_entities(clusters, placed, people, fold)))
+
+
+def named_nodes(people: DataFrame, clusters: DataFrame, channels: DataFrame, sent: DataFrame, top: DataFrame) -> DataFrame:
+    """``id, type, name, aliases`` of the nodes of ``node_table``, without numbers and texts."""
+    parts = [person_nodes(people, sent), channel_nodes(channels), entity_nodes(top)]
+    nodes = clusters.select(F.col("cluster_id").alias("id"), F.lit("cluster").alias("type"))
+    for p in parts:
+        nodes = nodes.unionByName(p.drop("o1", "o2"), allowMissingColumns=True)
+    return nodes.select("id", "type", "name", "aliases")
+
+
+def node_table(placed: DataFrame, people: DataFrame, clusters: DataFrame, channels: DataFrame, sent: DataFrame, top: DataFrame) -> DataFrame:
+    """The nodes of a message table of which ``edge_parts`` are known."""
     parts = [person_nodes(people, sent), channel_nodes(channels), cluster_nodes(clusters, placed), entity_nodes(top)]
     nodes = parts[0]
     for p in parts[1:]:
         nodes = nodes.unionByName(p, allowMissingColumns=True)
     numbered = ordinals(nodes, "node_seq", F.col("o1"), F.col("o2.t"), F.col("o2.s"), F.col("type"), F.col("id"))
-    return cut(_shaped(numbered, schema.NODES)), (clusters, channels, sent, top)
+    return cut(_shaped(numbered, schema.NODES))
 
 
 def build_graph(messages: DataFrame, channels: DataFrame, people: DataFrame, meta: dict | None = None, fold: bool = True) -> Graph:
     """The whole graph of a message table."""
     spark = messages.sparkSession
-    nodes, parts = node_table(messages, channels, people, fold)
+    placed, parts = edge_parts(messages, channels, people, fold)
+    nodes = node_table(placed, people, *parts)
     edges = None
     for i, e in enumerate(edge_tables(*parts, all_interactions).values()):
         e = e.withColumn("o", F.lit(i)).withColumn("weight", F.col("weight").cast("double"))

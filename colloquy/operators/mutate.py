@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import clean_name
-from .graph import Graph, _shaped, all_interactions, interaction_edges
+from .graph import Graph, _shaped, all_interactions
 from .iterate import cut
 
 
@@ -138,10 +138,10 @@ def person_keys(people: DataFrame) -> DataFrame:
     return win.union(left)
 
 
-def merge_nodes(tn: DataFrame, sn: DataFrame, ordinal: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The nodes of two graphs, ``ids(id, new, merged)`` of the second's, and those that it adds. No edge is read."""
+def merged_ids(tn: DataFrame, sn: DataFrame, ordinal: int = 2) -> DataFrame:
+    """``id, new, merged`` of a second graph's nodes, of which ``id, type, name`` are read."""
     keys = cut(person_keys(tn.where("type = 'person'")))
-    people = sn.where("type = 'person'").select("id", "name", "aliases")
+    people = sn.where("type = 'person'").select("id", "name")
     clean = clean_name(F.col("name"))
     tried = people.select("id", F.posexplode(F.array(F.lower("name"), clean, F.get(F.split(clean, r"\s+"), F.lit(0)))).alias("at", "key"))
     found = tried.join(keys.withColumnRenamed("id", "hit"), "key").groupBy("id").agg(F.min_by("hit", "at").alias("hit"))
@@ -151,11 +151,16 @@ def merge_nodes(tn: DataFrame, sn: DataFrame, ordinal: int = 2) -> tuple[DataFra
     others = sn.where("type <> 'person'").select("id", "type", "name")
     hit = others.join(taken, F.when(F.col("type") == "entity", F.concat(F.lit("entity:"), "name")).otherwise(F.col("id")) == F.col("tid"), "left")
     goes = F.when(F.col("tid").isNull(), F.col("id")).when(F.col("type") == "entity", F.col("tid")).otherwise(F.concat("id", F.lit(f"_{ordinal}")))
-    ids = cut(
+    return cut(
         matched.select("id", F.coalesce("new", "id").alias("new"), F.col("new").isNotNull().alias("merged")).union(
             hit.select("id", goes, (F.col("type") == "entity") & F.col("tid").isNotNull())
         )
     )
+
+
+def merge_nodes(tn: DataFrame, sn: DataFrame, ordinal: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes of two graphs, ``ids(id, new, merged)`` of the second's, and those that it adds. No edge is read."""
+    ids = merged_ids(tn, sn, ordinal)
     moved = sn.join(ids, "id")
     add = moved.where("merged and type = 'entity'").groupBy("new").agg(F.sum(F.coalesce("global_frequency", F.lit(0))).alias("more"))
     known = moved.where("merged and type = 'person'").groupBy("new").agg(F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("names"))
@@ -176,7 +181,7 @@ def merged_weights(target: DataFrame, source: dict[str, DataFrame], sent: DataFr
     """
     person = F.concat(F.lit("person:"), "sender")
     met = ids.where("merged and id like 'person:%'").select(F.expr("substr(id, 8)").alias("sender"))
-    plain = interaction_edges(all_interactions(cut(sent.join(met, "sender", "left_anti"))))
+    plain = all_interactions(cut(sent.join(met, "sender", "left_anti").withColumn("sender", person)))
     ours = sent.join(met, "sender").select("cluster_id", F.col("sender").alias("x"), F.col("weight").alias("w"))
     mine = sent.join(met.withColumn("met", F.lit(True)), "sender", "left").join(ours, "cluster_id")
     mine = mine.where("sender <> x and (met is null or x < sender)")  # two merged ends once
@@ -192,7 +197,7 @@ def merged_weights(target: DataFrame, source: dict[str, DataFrame], sent: DataFr
     told = [
         old.select("p", "q", "type", weight),
         meets.join(known, ["p", "q"], "left_anti").select("p", "q", F.lit("INTERACTS"), "more"),
-        plain.select(*pair, "type", F.col("weight").cast("double")),
+        plain.select("a", "b", F.lit("INTERACTS"), F.col("weight").cast("double")),
     ]
     told += [e.join(moved[0], "src").join(moved[1], "dst").select(*ends, "type", F.col("weight").cast("double")) for k, e in source.items() if k != "INTERACTS"]
     found = told[0]

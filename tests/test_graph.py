@@ -206,3 +206,30 @@ def test_merge_queries_build_no_numbered_edges(spark, tmp_path, monkeypatch):
     found = {(r.a, r.b): r.weight for r in queries.merged_edges(spark, str(tmp_path)).where("type = 'INTERACTS'").collect()}
     users = [f"person:user_{i}" for i in range(4)]
     assert found == {("person:guide_1", users[1]): 1.0} | {(a, b): 1.0 for a in users for b in users if a < b}
+
+
+def test_sums_of_blocks_leave_workers_in_parts(spark):
+    from colloquy.operators import graph as G
+
+    most = 1 << 24  # beyond it, single precision has not every whole number
+    rows = [("all", 0, f"u{u:03}", 1 + u % 5) for u in range(700)] + [("big", 1, f"u{u:03}", most + 1 + u % 2) for u in range(0, 700, 2)]
+    rows += [(f"c{c}", c, f"u{u:03}", u) for c in range(2, 40) for u in {c, 600 - c, 300 + c}]
+    sent = spark.createDataFrame(rows, "cluster_id string, cluster_no long, sender string, weight long")
+    found = G.blocked_interactions(sent, 700)
+    assert "posexplode" in found._jdf.queryExecution().toString()
+    want = sorted(G.interactions(sent).collect())
+    assert sorted(found.collect()) == want and sorted(G.blocked_interactions(sent, 530).collect()) == want
+
+
+def test_merged_edges_make_no_node_table(spark, tmp_path, monkeypatch):
+    from colloquy.plans import queries
+
+    spark.sql("SELECT 1L AS conv_id, id AS turn, if(id = 0, 'user', 'guide') AS role, 'budget report' AS text FROM range(2)").write.parquet(f"{tmp_path}/conversations.parquet")
+    props = "if(id < 2, 'hill hill', '{\"k\": 7} a-b #x @y https://z')"
+    events = f"SELECT id AS event_id, timestamp_ntz'2024-01-01' AS ts, id AS user_id, 'view' AS event_type, 1D AS value, {props} AS props FROM range(4)"
+    spark.sql(events).write.parquet(f"{tmp_path}/events.parquet")
+    queries.conversation_graph(spark, str(tmp_path))
+    monkeypatch.setattr(queries.G, "node_table", None)
+    found = queries.merged_edges(spark, str(tmp_path)).collect()
+    assert {r.b for r in found if r.type == "MENTIONS" and r.a == "cluster_0_2"} == {f"entity:{n}" for n in ("hill hill", "a-b", "x", "y", "https://z")}
+    assert ("channel:view", "person:user_3", "PARTICIPATES", 1.0) in found
